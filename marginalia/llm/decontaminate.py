@@ -38,12 +38,15 @@ def words(text: Column) -> Column:
 
 def seeds(w: Column, masks: list[str]) -> Column:
     """The seeds of all masks, one mask after the other, by position."""
-    out = []
-    for mask in masks:
-        at = [i for i, c in enumerate(mask) if c == "1"]
+
+
+    def of(mask: str) -> Column:
+        taken = [i for i, c in enumerate(mask) if c == "1"]
         places = F.when(F.size(w) >= len(mask), F.sequence(F.lit(0), F.size(w) - len(mask)))
-        out.append(F.coalesce(F.transform(places, lambda i, at=at, mask=mask: F.xxhash64(F.lit(mask), *[F.get(w, i + k) for k in at])), F.array().cast("array<bigint>")))
-    return F.concat(*out)
+        found = F.transform(places, lambda i: F.xxhash64(F.lit(mask), *[F.get(w, i + k) for k in taken]))
+        return F.coalesce(found, F.array().cast("array<bigint>"))
+
+    return F.concat(*map(of, masks))
 
 
 def place_of(pos: Column, n: Column, masks: list[str]) -> Column:

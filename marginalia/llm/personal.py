@@ -138,7 +138,8 @@ def find_personal(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("print"))
     joined = rows.join(lists.withColumnRenamed("id", "id_").withColumnRenamed("print", "print_"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("print") == F.col("print_")), "left")
     own = F.coalesce(F.filter("all", lambda s: s["base"]), F.array().cast("array<struct<start:bigint,kind:int,end:bigint,base:boolean>>"))
-    counts = [F.size(F.filter(own, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    count = lambda k: F.size(F.filter(own, lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return joined.select(F.col("id").alias(id_col), *counts, F.sha2(spelled(own), 256).alias("base_sha256"), F.coalesce(spelled(F.col("all")), F.lit("")).alias("spans"))
 
 
