@@ -108,10 +108,13 @@ def bigrams(text: Column) -> Column:
 
 def windows(text: Column, size: int, most: int) -> Column:
     """Windows of size words, most of them at even steps; the whole text if it is shorter."""
-    w = F.split(squeeze(text), " ")
-    count = F.greatest(F.size(w) - size + 1, F.lit(1))
-    taken = F.least(count, F.lit(most))
-    return F.transform(F.sequence(F.lit(0), taken - 1), lambda i: F.array_join(F.slice(w, F.floor(i * count / taken).cast("int") + 1, size), " "))
+
+    def cut(v: Column) -> Column:
+        count = F.greatest(F.size(v) - size + 1, F.lit(1))
+        taken = F.least(count, F.lit(most))
+        return F.transform(F.sequence(F.lit(0), taken - 1), lambda i: F.array_join(F.slice(v, F.floor(i * count / taken).cast("int") + 1, size), " "))
+
+    return let(F.split(squeeze(text), " "), cut)
 
 
 def window_size(n: Column) -> Column:

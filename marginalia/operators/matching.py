@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.legal import article_id, articles_in
-from marginalia.functions.text import bigrams, fold, squash, squeeze, window_size, windows
+from marginalia.functions.text import bigrams, fold, let, squash, squeeze, window_size, windows
 from marginalia.operators.retrieval import broadcast_if_small
 
 #: Shares of windows from which a passage counts as found, quotable, partial.
@@ -28,8 +28,8 @@ def containment(probes: Column, haystack: Column) -> Column:
 
 def shingle_hashes(text: Column, n: int = 3) -> Column:
     """Hashes of every n neighbouring words; of all words if there are fewer."""
-    w = F.split(text, " ")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
+    places = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
+    return let(F.split(text, " "), lambda w: F.array_distinct(F.transform(places(w), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))))
 
 
 def candidates(passages: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:

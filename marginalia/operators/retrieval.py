@@ -45,9 +45,9 @@ def postings(corpus: DataFrame, id_col: str, text_col: str, tokenizer=tokens) ->
     return split.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def statistics(corpus: DataFrame, text_col: str, tokenizer=tokens) -> DataFrame:
-    """One row: n texts, avgdl."""
-    return corpus.agg(F.count("*").alias("n"), F.avg(F.size(tokenizer(F.col(text_col)))).alias("avgdl"))
+def statistics(corpus: DataFrame, index: DataFrame) -> DataFrame:
+    """One row: n texts, avgdl. Lengths come from the index, so that texts are cut into words once."""
+    return corpus.agg(F.count("*").alias("n")).join(index.agg(F.sum("tf").alias("total"))).select("n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
 
 
 def idf(index: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFrame:
@@ -57,16 +57,17 @@ def idf(index: DataFrame, stats: DataFrame, epsilon: float = EPSILON) -> DataFra
     return raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "text", tokenizer=tokens) -> DataFrame:
+def bm25(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", query_id: str = "query_id", query_col: str = "text", tokenizer=tokens, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank, retriever_backend): the k best texts for each query.
 
     A term counts as often as the query has it. Ties go to the smaller id. Texts without a
-    query term score 0 and fill up to k. Texts and their lengths are read once for the
-    postings of query terms only; document frequencies come from that same index.
+    query term score 0 and fill up to k. Texts are cut into words once: document
+    frequencies, lengths and scores all read the one shuffle on (id, term). Where many searches
+    share a corpus, write postings() as a table, and give it as index.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    index = postings(corpus, id_col, text_col, tokenizer)
-    stats = statistics(corpus, text_col, tokenizer)
+    index = index if index is not None else postings(corpus, id_col, text_col, tokenizer)
+    stats = statistics(corpus, index)
     weights = idf(index, stats)
     terms = broadcast_if_small(asked.join(weights, "term"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
