@@ -199,7 +199,7 @@ def check_outputs(df: DataFrame, key: str, text: str, question: str | None = Non
         found.append((F.coalesce(F.col(finish_reason) == "length", F.lit(False)), "hit-max-new-tokens", "review"))
     one = lambda code, severity: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"))
     every = F.array_compact(F.array(*[F.when(c, one(code, severity)) for c, code, severity in found]))
-    findings = F.when(F.trim(t) == "", F.array(one("empty-output", "blocking"))).otherwise(every)
+    findings = F.when(squeeze(t) == "", F.array(one("empty-output", "blocking"))).otherwise(every)
     return rows.select(key, findings.alias("findings")).withColumn("ok", ~F.exists("findings", lambda f: f["severity"] == "blocking"))
 
 

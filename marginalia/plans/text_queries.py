@@ -154,12 +154,13 @@ def _(spark, sf):
 
 
 @query("n20_parse_number", """
-SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN p_partkey * 1000000 WHEN 1 THEN p_partkey + 0.5 WHEN 2 THEN p_size ELSE p_partkey * 1000 + 123 END AS DOUBLE) AS value FROM part WHERE p_partkey BETWEEN 1 AND 999
+SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN (p_partkey % 900 + 1) * 1000000 WHEN 1 THEN p_partkey + 0.5 WHEN 2 THEN p_size ELSE (p_partkey % 900 + 1) * 1000 + 123 END AS DOUBLE) AS value FROM part
 """)
 def _(spark, sf):
     k = F.col("p_partkey")
-    raw = F.when(k % 4 == 0, F.concat(k, F.lit(".000.000"))).when(k % 4 == 1, F.concat(k, F.lit(",5"))).when(k % 4 == 2, F.lpad("p_size", 2, "0")).otherwise(F.concat(k, F.lit(".123")))
-    return table(spark, sf, "part").filter(k.between(1, 999)).select("p_partkey", legal.parse_number(raw).alias("value"))
+    three = (k % 900 + 1).cast("string")
+    raw = F.when(k % 4 == 0, F.concat(three, F.lit(".000.000"))).when(k % 4 == 1, F.concat(k, F.lit(",5"))).when(k % 4 == 2, F.lpad("p_size", 2, "0")).otherwise(F.concat(three, F.lit(".123")))
+    return table(spark, sf, "part").select("p_partkey", legal.parse_number(raw).alias("value"))
 
 
 @query("n21_hashes", "SELECT doc_id, substr(sha256(text), 1, 16) AS content, substr(sha256(concat(doc_id, ':', source)), 1, 24) AS key FROM documents")

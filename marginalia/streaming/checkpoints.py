@@ -9,8 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from marginalia.sources.store import last_of
 
 
-def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_files(spark: SparkSession, folder: str, schema, glob: str = "*", at: str | None = None, files_per_trigger: int = 1) -> DataFrame:
+    """Parquet files of a folder as they come; at names a time column, which watermarks need with a time zone."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", glob).parquet(folder)
+    return stream.withColumn(at, F.col(at).cast("timestamp")) if at else stream
 
 
 def once(stream: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:
