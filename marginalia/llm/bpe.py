@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import arrow_schema
+from marginalia.llm.common import arrow_map, arrow_schema
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_WORDS, BATCH_BYTES = 200_000, 2_000_000
+CACHE_WORDS, PART_BYTES = 150_000, 1_000_000
 #: The split of byte-level BPE, a fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -434,7 +434,7 @@ def _mapped(df: DataFrame, in_col: str, drop: bool, outs: list[T.StructField], w
         for whole in batches:
             column = whole.column(len(rest))
             sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-            part = (np.cumsum(sizes, dtype=np.int64) // BATCH_BYTES).tolist()
+            part = (np.cumsum(sizes, dtype=np.int64) // PART_BYTES).tolist()
             at = 0
             while at < len(part):
                 to = bisect.bisect_right(part, part[at])
@@ -443,7 +443,7 @@ def _mapped(df: DataFrame, in_col: str, drop: bool, outs: list[T.StructField], w
                 yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(rest))), *(pa.array(m, t) for m, t in zip(made, kinds, strict=True))], names=schema.names)
                 at = to
 
-    return own.mapInArrow(run, schema)
+    return arrow_map(own, run, schema)
 
 
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None, drop_text: bool = True) -> DataFrame:
@@ -468,6 +468,21 @@ def decode(df: DataFrame, ids_col: str = "ids", path: str | None = None, drop_id
     return _mapped(df, ids_col, drop_ids, [T.StructField("decoded", T.StringType())], work)
 
 
+def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, drop_text: bool = True) -> DataFrame:
+    """encode() and decode() in one pass over the texts: n_tokens, ids and decoded, which is made of the ids alone."""
+    path = path or default_path()
+    shared = df.sparkSession.sparkContext.broadcast(tables_at(path))
+
+    def work(texts: list[str]) -> list:
+        codec = codec_of(path, shared)
+        ids = codec.encode(texts)
+        spell = codec.tables.speller.decode
+        return [[len(x) for x in ids], [x.astype("<u4").tobytes() for x in ids], [spell(x).decode("utf-8", "replace") for x in ids]]
+
+    outs = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    return _mapped(df.withColumn(text_col, F.col(f"`{text_col}`").cast("string")), text_col, drop_text, outs, work)
+
+
 def pack(ids: list[int]) -> bytes:
     """A list of ids as encode() writes it."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -475,7 +490,7 @@ def pack(ids: list[int]) -> bytes:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Tokens, their digest and the decoded text's digest for each row of documents."""
-    done = decode(encode(docs.select("doc_id", "text")), drop_ids=False)
+    done = round_trip(docs.select("doc_id", "text"))
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows of a side up to which a broadcast is allowed; each caller counts first.
 BROADCAST_ROWS = 50_000
+#: Rows and bytes of a batch that goes to Python, at most; a row longer than that goes alone.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,6 +72,26 @@ def slices(texts: list[str], budget: int = 4_000_000) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def plain_bytes(setting: str) -> int:
+    """A number of rows or bytes as settings spell it: 64m, 67108864b, 10000."""
+    digits = setting.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(digits[-1:], 0)
+    return int(digits.rstrip("kmgt")) << unit
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded by rows and bytes, so that a worker's memory is.
+
+    The bounds are settings of the session, read when the plan is made; smaller ones stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = plain_bytes(conf.get(key))
+        if now <= 0 or now > most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.llm.common import slices, small_enough, written
+from marginalia.llm.common import arrow_map, slices, small_enough, written
 
 #: Bits of a trigram's hash; labelled rows for each language, about; fewest for a language to be modelled.
 BITS, SAMPLE, LEAST = 16, 500, 20
@@ -136,7 +136,7 @@ def scored(rows: DataFrame, model: Model, drop_text: bool) -> DataFrame:
             offsets = pa.array(np.arange(len(texts) + 1) * found.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.ListArray.from_arrays(offsets, flat)], names=[*names, "scores"])
 
-    return own.mapInArrow(run, schema)
+    return arrow_map(own, run, schema)
 
 
 def softmax(logs: Column) -> Column:

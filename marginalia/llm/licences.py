@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import arrow_map
+
 #: A match has this Dice coefficient at least.
 DICE = 0.8
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
@@ -160,7 +162,7 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = [pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, "licence", "dice", "start", "end", "licences", "n_matches"])
 
-    return own.mapInArrow(run, schema)
+    return arrow_map(own, run, schema)
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

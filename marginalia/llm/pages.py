@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import arrow_map
+
 #: Fixed values of HTML: elements that begin and end blocks, and those whose content isn't text.
 BLOCKS = set("""
 address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption
@@ -242,7 +244,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
                 texts = [main_text(h) for h in batch.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return own.mapInArrow(run, schema)
+    return arrow_map(own, run, schema)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import slices
+from marginalia.llm.common import arrow_map, slices
 
 #: Levels of phrases that a fingerprint holds (some 11 and 36 characters), and its bins for each.
 LEVELS, BINS = (2, 3), 64
@@ -133,7 +133,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = [spelled(s) for a, b in slices(texts, 250_000) for s in sketches(texts[a:b])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=[id_col, "fingerprint"])
 
-    return own.mapInArrow(run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fingerprint string")
+    return arrow_map(own, run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fingerprint string")
 
 
 def bucket_of(key: Column, splits: list[int]) -> Column:
@@ -214,7 +214,7 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(made, kinds, strict=True)], names=names)
                 ids, texts, tails = ids[-1:], texts[-1:], tails[-1:]
 
-    return own.mapInArrow(run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(own, run, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import arrow_map
+
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -295,7 +297,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     columns.append(pa.array(clean, pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + [c.split()[0] for c in extra.split(", ")])
 
-    return own.mapInArrow(run, schema)
+    return arrow_map(own, run, schema)
 
 
 def blanked(text: str, spans: list[tuple[int, int, int, float]]) -> str:

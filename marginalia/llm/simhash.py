@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import small_enough, written
+from marginalia.llm.common import arrow_map, small_enough, written
 
 WORDS, RADIUS, HASH_SEED = 3, 2, 42
 
@@ -69,7 +69,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fingerprint"])
 
-    return own.mapInArrow(run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fingerprint long")
+    return arrow_map(own, run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fingerprint long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import arrow_map
+
 VOCABULARY = "piece_bpe_32k.model"
 BATCH_BYTES, LONG, LIMIT = 1_000_000, 20_000, 4096
 #: A single space between two ASCII letters or digits.
@@ -118,7 +120,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
-    return own.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(own, run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
