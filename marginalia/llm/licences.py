@@ -89,7 +89,8 @@ class Matcher:
         self.least = least
         self.grams = {name: Counter(zip(w, w[1:])) for name, text in sorted(templates.items()) if len(w := words_of(text)) > 1}
         self.sizes = {name: sum(c.values()) for name, c in self.grams.items()}
-        self.bounds = {name: (n * least / (2 - least), n * (2 - least) / least) for name, n in self.sizes.items()}
+        # a hair wider, as a candidate may be just on a bound
+        self.bounds = {name: (n * least / (2 - least) - 1e-6, n * (2 - least) / least + 1e-6) for name, n in self.sizes.items()}
         self.smallest, self.largest = min(b[0] for b in self.bounds.values()), max(b[1] for b in self.bounds.values())
         self.any = {g for c in self.grams.values() for g in c}
 
