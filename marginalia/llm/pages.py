@@ -174,11 +174,16 @@ PAGES = [
     (f'<div class="cookie-notice"><p>We use cookies, and would like you to agree to them all before you go on.</p></div><div class="post"><h1>Post</h1><p>{LONG}</p></div><div class="comments"><h3>Comments</h3><p>{LONG}</p><p>I agree.</p></div>', "-++---"),
     (f'<article><header><h1>Title in a header</h1><p>By somebody</p></header><p>{LONG}</p><ul><li>First point of a list</li><li>Second point</li></ul><section class="comments"><p>{LONG}</p></section></article>', "+++++-"),
     (f'<article><p>{LONG}</p><form><p>Leave your address here</p></form><div class="ad">{LONG}</div><p>{LONG}</p><div class="related">{MENU}</div></article>', "+--+---"),
-    (f'<body>{MENU}<h1>A page without any marks</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{MENU}<p>Imprint</p></body>', "---++++----"),
+    (f'<body>{MENU}<h1>A page without any marks</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p>{MENU}<p><a href="/i">Imprint</a></p></body>', "---++++----"),
     (f'<table><tr><td>{MENU}</td><td><p>{LONG}</p><p>{LONG}</p></td></tr></table><p><a href="/t">Terms</a> <a href="/p">Privacy</a></p>', "---++-"),
     (f'<div><p>{LONG}</p><p>{LONG}</p></div><div><a href="/1">One more article that you may like</a></div><div><a href="/2">Yet another one of those</a></div><p><a href="/3">More</a></p>', "++---"),
     (f'<main><div hidden><p>{LONG}</p></div><h1>Shown</h1><p>{LONG}</p><blockquote>Quoted words.</blockquote><pre>x = 1</pre><table><tr><td>1</td><td>cell</td></tr></table></main><footer><p>{LONG}</p></footer>', "-++++++-"),
     (f'<div class="article-body"><p>{LONG}</p><p>A line.</p><p>{LONG}</p></div><div class="newsletter"><p>{LONG}</p></div><div class="share"><a href="/s">Share</a></div>', "+++--"),
+    (f'<article><p>{LONG}</p><p><a href="/y">See this</a></p><p>x</p></article><footer><a href="/f">Foot</a></footer>', "+++-"),
+    (f'<div><a href="/1">One link here</a></div><div>Topics</div><div><a href="/2">Another link</a></div><h2>Title of it</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p>', "---++++"),
+    (f'<div><a href="/1">One link here</a></div><div>Browse all of our topics by name</div><div><a href="/2">Another link</a></div><p>{LONG}</p><div><a href="/3">Next</a></div><div>Follow us</div><div><a href="/4">There</a></div>', "---+---"),
+    ("<article><p>x</p></article>", "+"), ("<nav><a href=/>Home</a></nav><article><p>Two words</p></article>", "-+"), ("<p>a<p>b", "++"), ("Bare words", "+"),
+    (f'<article><h1>T</h1><p>One.</p></article><div class="related"><p>{LONG}</p></div><footer>f</footer>', "++--"),
     (f'<p>{LONG}</p>', "+"), ("<p>Only a few words here.</p>", "+"), ("<div>One line</div><div>and one more line of it</div>", "++"),
     (f'<article><p>{LONG}</p><p><a href="/z">A line that is a link as a whole</a></p><p>{LONG}</p></article><p>{LONG}</p>', "+++-"),
     (f'<article><div class="notice"><p>{LONG}</p></div><p>One word</p><p>Two</p><p>Three words more.</p></article><div class="banner">Sale</div>', "-+++-"),
