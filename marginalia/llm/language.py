@@ -18,7 +18,9 @@ counted size, else joined by shuffle.
 The trigram model is fitted on a bounded sample of labelled rows: about SAMPLE for
 each declared language with at least LEAST rows, chosen by a hash of the id.
 
-A text is rejected if "und" wins or the best posterior is under SURE. Null and empty
+A text's language is the likeliest of the model's if these have SURE of the posterior
+together, else "und", and then the text is rejected. A text in two of the languages is
+not: it has one of them. Null and empty
 texts have no text evidence: they are "und". Null declarations and hosts are no
 evidence. Texts are scored whole; repeated rows each give a row; an empty table gives
 an empty result; extra columns are kept only where asked for.
@@ -40,7 +42,7 @@ from marginalia.llm.common import arrow_map, slices, small_enough, written
 #: Bits of a trigram's hash; labelled rows for each language, about; fewest for a language to be modelled.
 BITS, SAMPLE, LEAST = 16, 500, 20
 #: Share of a trigram's log likelihood that counts; pseudo-counts of the priors; weight of the priors.
-TEMPER, HOST_MASS, SUFFIX_MASS, DECLARED_MASS, SURE = 1 / 3, 50.0, 50.0, 5.0, 0.6
+TEMPER, HOST_MASS, SUFFIX_MASS, DECLARED_MASS, SURE = 1 / 3, 50.0, 50.0, 5.0, 0.5
 UND = "und"
 #: Common words of a few languages, so that a model never starts from nothing.
 SEEDS = {
@@ -70,10 +72,10 @@ def prepared(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace") + b" "
 
 
-def lettered(data: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which trigrams hold a letter: digits and marks alone say nothing."""
-    letter = ((data >= 97) & (data <= 122)) | (data >= 128)
-    return letter[:-2] | letter[1:-1] | letter[2:]
+def lettered(data: np.ndarray) -> np.ndarray:
+    """Which trigrams hold a letter and no digit: numbers, marks and codes say nothing."""
+    letter, digit = ((data >= 97) & (data <= 122)) | (data >= 128), (data >= 48) & (data <= 57)
+    return (letter[:-2] | letter[1:-1] | letter[2:]) & ~(digit[:-2] | digit[1:-1] | digit[2:])
 
 
 def fit(rows: list[tuple[str, str]]) -> Model:
@@ -85,7 +87,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     for lang, text in rows:
         data = np.frombuffer(prepared(text), np.uint8)
         keys = hashed(data)
-        counts[:, languages.index(lang)] += np.bincount(keys[lettered(data, keys)], minlength=size)
+        counts[:, languages.index(lang)] += np.bincount(keys[lettered(data)], minlength=size)
     # the floor is under the flat probability of und, so that unseen trigrams speak for und
     logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * size))
     return Model((*languages, UND), np.concatenate([logs, np.full((size, 1), -np.log(size))], axis=1).astype(np.float32))
@@ -98,7 +100,7 @@ def log_likelihoods(texts: list[str], model: Model) -> np.ndarray:
         encoded = [prepared(t) for t in texts[a:b]]
         data = np.frombuffer(b"".join(encoded) + b"  ", np.uint8)
         keys = hashed(data)
-        good = lettered(data, keys)
+        good = lettered(data)
         first = np.concatenate([[0], np.cumsum([len(e) for e in encoded])[:-1]])
         for k in range(len(model.languages)):
             out[a:b, k] = np.add.reduceat(np.where(good, model.logs[:, k][keys], 0), first) * TEMPER
@@ -192,13 +194,13 @@ def identify(rows: DataFrame, keep_text: bool = False, model: Model | None = Non
     logs = F.transform(F.arrays_zip(F.col("scores").alias("a"), prior.alias("b"), said.alias("c")), lambda x: x["a"].cast("double") + x["b"] + x["c"])
     names = F.array(*[F.lit(x) for x in model.languages])
     empty = ~F.exists("scores", lambda x: x != 0)
-    found = joined.withColumn("__post", softmax(logs)).withColumn("posterior", F.array_max("__post"))
-    best = F.element_at(names, F.array_position(F.col("__post"), F.col("posterior")).cast("int"))
+    found = joined.withColumn("__post", softmax(logs)).withColumn("__known", F.slice("__post", 1, n - 1))
+    told = ~empty & (F.aggregate("__known", F.lit(0.0), lambda a, x: a + x) >= SURE)
+    best = F.element_at(names, F.array_position(F.col("__known"), F.array_max("__known")).cast("int"))
     text_best = F.element_at(names, F.array_position(F.col("scores"), F.array_max("scores")).cast("int"))
-    found = found.withColumn("language", F.when(empty, F.lit(UND)).otherwise(best)).withColumn("text_language", F.when(empty, F.lit(UND)).otherwise(text_best))
-    found = found.withColumn("posterior", F.when(empty, F.lit(0.0)).otherwise(F.col("posterior")))
-    found = found.withColumn("rejected", (F.col("language") == UND) | (F.col("posterior") < SURE))
-    return found.drop("scores", "prior", "host_", "suffix__", "__post")
+    found = found.withColumn("language", F.when(told, best).otherwise(UND)).withColumn("text_language", F.when(empty, F.lit(UND)).otherwise(text_best))
+    found = found.withColumn("posterior", F.when(told, F.array_max("__known")).when(empty, 0.0).otherwise(F.element_at("__post", -1))).withColumn("rejected", F.col("language") == UND)
+    return found.drop("scores", "prior", "host_", "suffix__", "__post", "__known")
 
 
 def of_documents(docs: DataFrame, *more: Column) -> DataFrame:
