@@ -131,13 +131,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """documents with one row of each component: the one with the smallest doc_id.
 
+    The components are of's (doc_id, component_id), or those of near_duplicates().
     Rows without a doc_id go only if another row of their component has one. The
     ids that go are broadcast up to a counted size, else shuffled.
     """
-    found = written(near_duplicates(docs), "components")
+    found = written(near_duplicates(docs) if of is None else of, "components")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti")
     if found.filter("doc_id is null").limit(1).count():

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marginalia.llm import bpe, decontaminate, language, phrases, registry, simhash, tokencount
+from marginalia.llm import bpe, decontaminate, language, nearcopies, phrases, registry, simhash, tokencount
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -293,6 +293,56 @@ def test_near_duplicates_on_edges(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def jaccard_components(texts):
+    """The least id of the component of each id, by all pairs."""
+    def cut(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {i: cut(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in sets:
+        for j in sets:
+            if j < i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in texts}
+
+
+@pytest.mark.parametrize("few", [nearcopies.FEW, 2])
+def test_near_copies_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(nearcopies, "FEW", few)
+    r = random.Random(23)
+    texts = {}
+    for _ in range(12):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(r.choice([3, 8, 60, 200, 600]))]
+        for _ in range(r.randint(1, 6)):
+            copy = list(base)
+            for _ in range(r.choice([0, 1, 2, 5]) * len(base) // 200):
+                copy[r.randrange(len(copy))] = "other"
+            texts[len(texts)] = " ".join(copy)
+    wanted = jaccard_components(texts)
+    got = {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(frame(spark, list(texts.items()))).collect()}
+    assert got == wanted and len(set(wanted.values())) < len(texts)
+
+
+def test_near_dedup_stage_takes_near_copies(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    wanted = jaccard_components({d["doc_id"]: d["text"] or "" for d in docs.collect()})
+    kept = {d["doc_id"] for d in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert kept == set(wanted.values())
+
+
+def test_near_copies_on_edges(spark):
+    rows = [(9, None), (4, ""), (7, " \n"), (None, "lone words here"), (6, "same text is here"), (6, "same text is here"), (None, "")]
+    got = [(r["doc_id"], r["component_id"]) for r in nearcopies.near_copies(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(9, 4), (4, 4), (7, 4), (None, 4), (None, None), (6, 6), (6, 6)], key=str)
+    assert nearcopies.near_copies(frame(spark, [])).count() == 0
+
+
 # --- decontamination --------------------------------------------------------------------------------------
 def norm(text):
     import re
