@@ -1,22 +1,31 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-Candidates are the whole text, each paragraph (between empty lines) and each line.
-A candidate is normalised (lower case, words of letters, digits and dots, without
-copyright lines' years and names), and compared to every template whose size the
-bounds allow: with b bigrams in a template and Dice of at least t, a candidate has
-from b * t / (2 - t) to b * (2 - t) / t bigrams. Bigrams count as often as they occur.
+Candidates are the whole text, each paragraph (between empty lines), each line, and
+windows of consecutive words, whatever lines or paragraphs they run over. A candidate
+is normalised (lower case, words of letters, digits and dots, without copyright
+lines' years and names), and compared to every template whose size the bounds allow:
+with b bigrams in a template and Dice of at least t, a candidate has from
+b * t / (2 - t) to b * (2 - t) / t bigrams. Bigrams count as often as they occur.
 Before that, a candidate whose bigrams meet none of any template is done with.
 
+All windows inside the size bounds count: the best one begins and ends with a bigram of
+the template, and one that falls short by as many words as the bounds allow isn't tried.
+For templates of up to SENTENCE bigrams a window counts as at least as long as the
+template, as else "licensed under the MIT" would do. Windows of a template don't overlap
+(the best one first). A window goes if a stronger match (of more shared bigrams) has more
+than half of the bigrams it rests on, and so does a text, paragraph or line if that match
+is a window: half of a licence line may look like another one.
+
 The result is exact for these candidates; each text gets its best match (the highest
 Dice, then the template's name) and all licences that match. Null and empty texts
 match none; texts are scanned whole; repeated rows each give a row; extra columns are
-ignored. A licence that shares a line with other prose, or that is broken over lines
-without an empty line around it, is found only if the whole still reaches the bound.
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,6 +38,8 @@ from marginalia.llm.common import arrow_map
 
 #: A match has this Dice coefficient at least.
 DICE = 0.8
+#: Templates of up to so many bigrams are sentences.
+SENTENCE = 20
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 COPYRIGHT = re.compile(r"^\s*(?:copyright|\(c\)|©).*$", re.I | re.M)
 #: Notices and texts of common licences.
@@ -82,6 +93,17 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(COPYRIGHT.sub(" ", text).lower() if "opyright" in text or "©" in text or "(c)" in text.lower() or "OPYRIGHT" in text else text.lower())
 
 
+def word_places(text: str) -> list[tuple[int, int]]:
+    """The spans in text of words_of(text)."""
+    low = COPYRIGHT.sub(lambda m: " " * len(m[0]), text).lower()
+    spans = [m.span() for m in WORD.finditer(low)]
+    if len(low) != len(text):
+        # a letter that becomes two in lower case
+        back = [i for i, c in enumerate(text) for _ in c.lower()]
+        spans = [(back[a], back[b - 1] + 1) for a, b in spans]
+    return spans
+
+
 class Matcher:
     """Templates with their bigrams and size bounds."""
 
@@ -93,6 +115,7 @@ class Matcher:
         self.bounds = {name: (n * least / (2 - least) - 1e-6, n * (2 - least) / least + 1e-6) for name, n in self.sizes.items()}
         self.smallest, self.largest = min(b[0] for b in self.bounds.values()), max(b[1] for b in self.bounds.values())
         self.any = {g for c in self.grams.values() for g in c}
+        self.holders = {g: [n for n, c in self.grams.items() if g in c] for g in self.any}
 
     def best(self, words: list[str]) -> tuple[float, str, int] | None:
         """(Dice, template, templates compared) of a candidate's best template, if it is close enough."""
@@ -118,8 +141,76 @@ class Matcher:
             seen.add((start, end))
             if (m := self.best(words_of(text[start:end]))) is not None:
                 out.append((m[0], m[1], start, end))
+        return self.settled(text, out)
+
+    def windows(self, words: list[str]) -> list[tuple[int, float, str, int, int]]:
+        """(shared bigrams, Dice, template, first bigram, last) of the best windows that don't overlap, for each template."""
+        at: dict[str, list[tuple[int, tuple[str, str]]]] = {}
+        for i, g in enumerate(zip(words, words[1:])):
+            for name in self.holders.get(g, ()):
+                at.setdefault(name, []).append((i, g))
+        out = []
+        for name, hits in at.items():
+            if len(hits) >= self.bounds[name][0]:
+                taken = bytearray(len(words))
+                for dice, shared, i, j in sorted(self._from_each(name, hits), key=lambda x: (-x[0], x[2], -x[3])):
+                    if 1 not in taken[i : j + 1]:
+                        taken[i : j + 1] = b"\1" * (j + 1 - i)
+                        out.append((shared, dice, name, i, j))
         return out
 
+    def _from_each(self, name: str, hits: list[tuple[int, tuple[str, str]]]) -> Iterator[tuple[float, int, int, int]]:
+        """(Dice, shared, first, last) of the best window from each hit, if it is close enough."""
+        grams, size, (low, high) = self.grams[name], self.sizes[name], self.bounds[name]
+        least_n = size if size <= SENTENCE else 0
+        # what the longest window from a hit shares bounds all windows from there
+        held, shared, end = Counter(), 0, 0
+        for k, (i, first) in enumerate(hits):
+            while end < len(hits) and hits[end][0] - i + 1 <= high:
+                g = hits[end][1]
+                held[g] += 1
+                shared += held[g] <= grams[g]
+                end += 1
+            if shared >= low:
+                best, seen, both = (0.0, 0, 0), Counter(), 0
+                for j, g in hits[k:end]:
+                    seen[g] += 1
+                    if seen[g] <= grams[g]:
+                        both += 1
+                        dice = 2 * both / (max(j - i + 1, least_n) + size)
+                        if dice > best[0]:
+                            best = dice, both, j
+                if best[0] >= self.least:
+                    yield best[0], best[1], i, best[2]
+            shared -= held[first] <= grams[first]
+            held[first] -= 1
+
+    def settled(self, text: str, whole: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
+        """whole, the matches of the other candidates, and the windows, as (Dice, template, start, end), without those that a stronger one explains."""
+        words = words_of(text)
+        found = self.windows(words)
+        if not found:
+            return whole
+        places = word_places(text)
+        starts = [a for a, _ in places]
+        entries = [(-shared, 1, -dice, name, i, j, places[i][0], places[j + 1][1]) for shared, dice, name, i, j in found]
+        for dice, name, a, b in whole:
+            i, j = bisect_left(starts, a), bisect_left(starts, b) - 2
+            shared = (Counter(zip(words[i : j + 1], words[i + 1 : j + 2])) & self.grams[name]).total()
+            entries.append((-shared, 0, -dice, name, i, j, a, b))
+        kept, covers = set(), ({}, {})
+        for entry in sorted(entries):
+            _, window, dice, name, i, j, a, b = entry
+            rests = [(p, g) for p in range(i, j + 1) if (g := (words[p], words[p + 1])) in self.grams[name]]
+            # only windows explain a whole text, paragraph or line
+            stronger = [covers[1], covers[0]] if window else [covers[1]]
+            explained = Counter(other for p, g in rests for other in set().union(*(c.get(p, ()) for c in stronger)) if g in self.grams[other])
+            if 2 * max(explained.values(), default=0) <= len(rests):
+                kept.add((-dice, name, a, b))
+                for p, _ in rests:
+                    covers[window].setdefault(p, set()).add(name)
+        return [m for m in whole if m in kept] + sorted(kept.difference(whole), key=lambda m: m[2:])
+
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """The whole text, its paragraphs and its lines, as spans."""

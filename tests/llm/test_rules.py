@@ -182,6 +182,58 @@ def test_licences_inside_texts(spark):
     assert row[1]["licence"] == "BSD-2-Clause" and row[2]["licence"] is None and row[2]["licences"] == ""
 
 
+PROSE = "we went to the shop and bought some bread because it was the last day of the year and nobody knew when it opens again".split()
+
+
+def prose(r, n):
+    return " ".join(r.choices(PROSE, k=n))
+
+
+def test_whole_licences_inside_long_texts():
+    import textwrap
+
+    r, m = random.Random(31), licences.matcher()
+    for name, template in licences.TEMPLATES.items():
+        words = template.split()
+        cut = [len(words) * i // 3 for i in range(4)]
+        parts = [" ".join(words[a:b]) for a, b in zip(cut, cut[1:])]
+        marked = "\n".join("# " + x for x in textwrap.wrap(template, 60))
+        for body in ("\n\n".join(parts), "\n".join(textwrap.wrap(template, 50)), marked, template):
+            for before, after in (("\n\n", "\n\n"), ("\n", "\n"), (" ", " ")):
+                text = prose(r, 900) + before + body + after + prose(r, 900)
+                found = m.scan(text)
+                # in a paragraph, a wrapped line may be a licence line itself
+                dice, got, a, b = best = max(found, key=lambda x: (x[3] - x[2], x[0]))
+                assert got == name and all({text[x[2] - 1], text[x[3]]} == {"\n"} for x in found if x != best), (name, before, [x[:2] for x in found])
+                # a wrapped line that begins with "copyright" is taken for a notice of one
+                assert dice > 0.9 and text.index(words[0]) - 2 <= a and text[a:b].split()[-1].strip(".<>/") == words[-1].strip(".<>/"), name
+
+
+def test_windows_against_brute_force():
+    r = random.Random(32)
+    for _ in range(150):
+        letters = "abcdef"
+        template = " ".join(r.choices(letters, k=r.randint(4, 40)))
+        words = r.choices(letters, k=r.randint(0, 60))
+        at = r.randint(0, len(words))
+        words[at:at] = [w for w in template.split() if r.random() > 0.1]
+        m = licences.Matcher({"t": template})
+        size = m.sizes["t"]
+        long_enough = size if size <= licences.SENTENCE else 0
+        scores = [2 * (c & m.grams["t"]).total() / (max(c.total(), long_enough) + size) for i in range(len(words)) for j in range(i + 2, len(words) + 1) for c in [licences.Counter(zip(words[i:j], words[i + 1 : j]))]]
+        best = max(scores, default=0)
+        got = max((x[1] for x in m.windows(words)), default=0)
+        assert got == (best if best >= licences.DICE else 0), (template, words)
+
+
+def test_a_window_of_another_licence_is_no_match():
+    m = licences.matcher()
+    names = lambda text: sorted({x[1] for x in m.scan(text)})
+    assert names("This book was licensed under the MIT Press agreement of last year, and so on and on.") == []
+    assert names("As we say, this work is licensed under the GNU General Public License, version 3. That is all we say.") == ["GPL-3.0 line"]
+    assert names("İİ x released under the MIT License. İ And Licensed under CC BY-SA 4.0. too") == ["CC-BY-SA-4.0 line", "MIT release line"]
+
+
 def test_versions_are_told_apart():
     m = licences.matcher()
     for v in "23":
