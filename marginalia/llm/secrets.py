@@ -5,7 +5,9 @@ scores every candidate (each base span, and each run of 16 or more token
 characters that holds a digit and a letter) together with its surrounding
 context, and adds runs that no base span touches when their calibrated
 probability reaches a threshold. The threshold is the highest one that keeps
-RECALL of the held-out labelled findings.
+RECALL of the held-out labelled findings. A candidate of more than BODY characters is
+scored in overlapping pieces of BODY over its whole length, and has the highest score:
+a secret behind a long path is seen as one at the start.
 
 The network is trained here, in numpy, on FINDINGS labelled findings made from
 a fixed seed (a bounded, documented sample); training takes a few seconds on
@@ -45,6 +47,8 @@ REDACTED = "[SECRET]"
 
 LEFT, BODY, RIGHT = 24, 48, 8
 WIDTH = LEFT + BODY + RIGHT
+#: From one piece of a long candidate to the next; a secret of up to BODY - STEP characters is whole in one of them.
+STEP = 16
 EMBED, KERNEL, FILTERS, HIDDEN = 8, 5, 20, 16
 PAD, OTHER = 96, 95
 #: Labelled findings to train on, and to calibrate on.
@@ -71,13 +75,18 @@ def candidate_runs(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(a: int, b: int) -> list[tuple[int, int]]:
+    """The pieces in which the network sees a candidate: all of it, or overlapping parts of BODY."""
+    return [(a, b)] if b - a <= BODY else [(i, i + BODY) for i in (*range(a, b - BODY, STEP), b - BODY)]
+
+
 def windows(texts: list[str], spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes and the candidate's mask for (text's number, start, end)."""
+    """Character codes and the mask for (text's number, start, end) of pieces, BODY characters each at most."""
     codes = np.full((len(spans), WIDTH), PAD, np.uint8)
     mask = np.zeros((len(spans), WIDTH), np.float32)
     for row, (t, a, b) in enumerate(spans):
-        text, end = texts[t], min(b, a + BODY)
-        left, body, right = text[max(0, a - LEFT) : a], text[a:end], text[b : b + RIGHT]
+        text = texts[t]
+        left, body, right = text[max(0, a - LEFT) : a], text[a:b], text[b : b + RIGHT]
         for at, part in ((LEFT - len(left), left), (LEFT, body), (LEFT + BODY, right)):
             raw = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
             codes[row, at : at + len(raw)] = np.where((raw >= 32) & (raw < 127), raw - 32, OTHER)
@@ -175,8 +184,8 @@ class Net:
         return 1 / (1 + np.exp(-(self.scale * np.concatenate(out) + self.shift))) if out else np.zeros(0)
 
 
-def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): n findings, half of them secrets, made from a seed."""
+def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, label, where the secret starts): n findings, half of them secrets, made from a seed; some stand behind a path."""
     r = random.Random(seed)
     alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
     syllables = "the an er on re en ti es or te of ed is it al ar st nt ion ment che sch ung que eau os ado cion der und lich".split()
@@ -208,22 +217,36 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             if len(s) >= 16 and re.search("[0-9]", s) and re.search("[A-Za-z]", s):
                 return s
 
+    def path() -> str:
+        spoken = lambda: "".join(r.choice("b br c ch d dr f fl g h j k l m n p pr qu r s sh st t th tr v w x y z".split()) + r.choice("a e i o u y ai ea ee io ou er on ar ew".split()) for _ in range(r.randint(1, 4))) + r.choice(["", "", "s", "t", "ng", "ry", "ly", "ment"])
+        part = lambda: r.choice([word, spoken, spoken, spoken, lambda: f"{spoken()}-{spoken()}", lambda: f"{spoken()}_{spoken()}", lambda: f"{spoken()}{number(1, 2)}.{r.choice(['html', 'txt', 'json', 'csv'])}", lambda: f"{word()}.{spoken()}.com", lambda: f"{word()}-{word()}", lambda: f"{word()}_{number(1, 3)}", lambda: number(1, 6), lambda: f"v{number(1, 1)}", lambda: r.choice(string.ascii_uppercase) + some(string.ascii_uppercase + string.digits, 7, 10), lambda: r.choice(string.ascii_uppercase) + "0" * r.randint(7, 10)])()
+        return "/".join(part() for _ in range(r.randint(2, 9))) + "/"
+
     out = []
     for i in range(n):
         body, label = (secret(), 1) if i % 2 else (harmless(), 0)
+        front = path() if r.random() < 0.5 else ""
+        body = front + body
         before = prose(2, 8) + r.choice([" ", " ", ": ", ' "', " = ", "=", " (", "\n", " | ", "/"])
         if r.random() < (0.5 if label else 0.1):
             before += r.choice(["key", "auth", "bearer", "credential", "client_id", "private", "access", "pwd"]) + r.choice([": ", "=", ' = "', '": "', " "])
         if not label and r.random() < 0.2:
             before += r.choice([word() + number(1, 2) + "@", "https://", "http://"])
         text = before + body + r.choice([" ", '" ', ". ", ", ", ")", "\n"]) + prose(1, 6)
-        out.append((text, len(before), len(before) + len(body), label))
+        out.append((text, len(before), len(before) + len(body), label, len(before) + len(front)))
     return out
 
 
-def findings_arrays(found: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes, mask = windows([f[0] for f in found], [(i, f[1], f[2]) for i, f in enumerate(found)])
-    return codes, mask, np.array([f[3] for f in found], np.float32)
+def findings_arrays(found: list[tuple[str, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The findings' pieces; one is a secret if it shows 20 characters of one, and harmless if it shows none; others are left out."""
+    spans, labels = [], []
+    for i, (_, start, end, label, secret) in enumerate(found):
+        for a, b in pieces(start, end):
+            shown = label * max(0, b - max(a, secret))
+            if not 0 < shown < 20:
+                spans.append((i, a, b))
+                labels.append(min(shown, 1))
+    return *windows([f[0] for f in found], spans), np.array(labels, np.float32)
 
 
 @lru_cache(1)
@@ -234,6 +257,16 @@ def trained() -> Net:
     return net
 
 
+def probabilities(texts: list[str], spans: list[tuple[int, int, int, int]], net: Net) -> np.ndarray:
+    """For each (text's number, start, end, kind) the highest probability of its pieces."""
+    shown = [(row, t, x, y) for row, (t, a, b, _) in enumerate(spans) for x, y in pieces(a, b)]
+    best = np.zeros(len(spans))
+    for i in range(0, len(shown), 2048):
+        part = shown[i : i + 2048]
+        np.maximum.at(best, [w[0] for w in part], net.probability(*windows(texts, [w[1:] for w in part])))
+    return best
+
+
 def scan_texts(texts: list[str], net: Net) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]]:
     """For each text its base spans, and the base and added spans with the network's probability."""
     base, wanted = [], []
@@ -251,7 +284,7 @@ def scan_texts(texts: list[str], net: Net) -> list[tuple[list[tuple[int, int, in
     out: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     for i in range(0, len(wanted), 2048):
         part = wanted[i : i + 2048]
-        for (t, a, b, k), p in zip(part, net.probability(*windows(texts, [w[:3] for w in part])), strict=True):
+        for (t, a, b, k), p in zip(part, probabilities(texts, part, net), strict=True):
             if k < 3 or p >= net.threshold:
                 out[t].append((a, k, b, float(p)))
     return [(b, sorted(s)) for b, s in zip(base, out, strict=True)]

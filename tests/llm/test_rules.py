@@ -46,6 +46,24 @@ def test_network_on_findings_it_has_not_seen():
     assert (p[y == 0] >= net.threshold).mean() <= 0.02
 
 
+def test_secrets_behind_long_paths():
+    r, net = random.Random(33), secrets.trained()
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    paths = ["hooks.slack.com/services/T00000000/B00000000/", "storage.example.com/projects/reports/2024/quarterly/summary/download/", "/home/deploy/releases/current/config/environments/production/"]
+    texts = ["see " + p + "".join(r.choices(chars, k=r.choice([24, 32, 40]))) + " and so on" for p in paths for _ in range(100)]
+    found = [any(k == 3 and text[b:] == " and so on" for _, k, b, _ in spans) for text, (_, spans) in zip(texts, secrets.scan_texts(texts, net), strict=True)]
+    assert min(sum(found[i : i + 100]) for i in (0, 100, 200)) >= 90
+    harmless = [f"see {p}{w}/index{n}.html and so on" for p in paths[1:] for w in ("overview", "monthly-figures", "chapter_two") for n in range(20)]
+    assert sum(any(k == 3 for _, k, _, _ in spans) for _, spans in secrets.scan_texts(harmless, net)) <= 6
+
+
+def test_a_long_candidate_is_seen_whole():
+    for n in (16, 48, 49, 64, 65, 300):
+        parts = secrets.pieces(5, 5 + n)
+        assert set().union(*(range(a, b) for a, b in parts)) == set(range(5, 5 + n)) and all(b - a <= secrets.BODY for a, b in parts)
+        assert all(any(a <= i and i + 32 <= b for a, b in parts) for i in range(5, 5 + n - 31))
+
+
 def test_network_gradients():
     net = secrets.Net(3)
     codes, mask, y = secrets.findings_arrays(secrets.labelled_findings(8, 5))
