@@ -4,9 +4,14 @@ Texts and items become lower-case words (runs of letters and digits), and words
 hashes. At each position each of MASKS takes the words under its ones and ignores the
 others, so a substituted word spoils only the seeds that look at it. The seeds of all
 texts are joined to the items' seeds; a hit gives an item and a diagonal (where the
-item would begin in the text). Around each hit the overlap is verified: on the diagonal
-some WINDOW consecutive words of the item (all, if it has fewer) must agree in SHARE of
-their places. That finds whole and partial copies with substitutions.
+item would begin in the text). Where enough hits meet on a diagonal the overlap is
+verified: on it some WINDOW consecutive words of the item (all, if it has fewer) must
+agree in SHARE of their places. That finds whole and partial copies with substitutions.
+
+No overlap that would be accepted is lost before that: least_hits() tries all placements
+of the other words in a window, and a diagonal is dropped only if it has fewer hits than
+the least of them leaves. MASKS leave at least one for every width but 5, where a word
+inside needs MASKS_OF_5 too; those are used if an item is that short.
 
 The items' seeds are broadcast up to a counted size (SEED_ROWS), else joined by
 shuffle; likewise the texts that were hit. Only their words are looked at again, so
@@ -14,20 +19,22 @@ verifying doesn't shuffle all texts. A passage that a third of all texts share m
 hits in proportion to its copies; nothing is paired with other copies.
 
 Null and empty texts and items are never contaminated. Items with fewer than SHORTEST
-words are no evidence and match nothing; those shorter than a mask get a mask of their
-own length. Texts are read whole; repeated rows each give their rows; extra columns are
+words are no evidence and match nothing. Texts are read whole; repeated rows each give their rows; extra columns are
 ignored; a null id is kept.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import small_enough, written
 
-#: Both masks survive a substitution in every fifth word at some position.
-MASKS = ("1111011", "110110011")
+#: Without substitutions at the ends: what a mask ignores there needn't be in the text.
+MASKS, MASKS_OF_5 = ("1111", "11011"), ("10111", "11101")
 WINDOW, SHARE, SHORTEST, SEED_ROWS = 13, 0.8, 5, 1_000_000
 
 
@@ -62,6 +69,14 @@ def place_of(pos: Column, n: Column, masks: list[str]) -> Column:
     return out
 
 
+def least_hits(width: int, masks: list[str]) -> int:
+    """How many seeds any window of so many words keeps, if as many agree as verifying asks for."""
+    def hits(others: tuple[int, ...]) -> int:
+        return sum(all(c == "0" or at + k not in others for k, c in enumerate(mask)) for mask in masks for at in range(width - len(mask) + 1))
+
+    return min(map(hits, combinations(range(width), width - math.ceil(SHARE * width))))
+
+
 def seeded(rows: DataFrame, masks: list[str], *keys: str) -> DataFrame:
     """(keys, place, seed) for each seed of rows (keys, w)."""
     shaped = rows.select(*keys, F.size("w").alias("n"), F.posexplode(seeds(F.col("w"), masks)).alias("pos", "seed"))
@@ -76,14 +91,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     trimmed = F.filter(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
     items = benchmark.select("item_id", F.transform(trimmed, lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") >= SHORTEST).distinct()
     items = written(items, "items")
-    lengths = [r[0] for r in items.select(F.size("w")).distinct().filter(F.col("size(w)") < max(map(len, MASKS))).collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(lengths))]
-    wanted = seeded(items, masks, "item_id").select(F.col("item_id"), F.col("place").alias("item_place"), "seed")
+    masks = [*MASKS, *(MASKS_OF_5 if items.filter(F.size("w") == 5).limit(1).count() else ())]
+    least = F.array(*[F.lit(least_hits(n, masks)) for n in range(SHORTEST, WINDOW + 1)])
+    items_by_need = items.withColumn("needed", F.get(least, F.least(F.size("w"), F.lit(WINDOW)) - SHORTEST))
+    wanted = seeded(items_by_need, masks, "item_id", "needed").select("item_id", "needed", F.col("place").alias("item_place"), "seed")
     wanted = written(wanted, "seeds")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null and text <> ''").withColumn("print", F.xxhash64("text"))
     every = seeded(rows.select("id", "print", words(F.col("text")).alias("w")), masks, "id", "print")
     side = F.broadcast(wanted) if small_enough(wanted, SEED_ROWS) else wanted
-    hits = written(every.join(side, "seed").select("id", "print", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct(), "hits")
+    met = every.join(side, "seed").groupBy("id", "print", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("needed").alias("needed"))
+    hits = written(met.filter("n >= needed").select("id", "print", "item_id", "diagonal"), "hits")
     hit_rows = hits.groupBy("id", "print").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits"))
     hit_rows = written(hit_rows.withColumnRenamed("id", "id_").withColumnRenamed("print", "print_"), "hit-rows")
     near = F.broadcast(hit_rows) if small_enough(hit_rows) else hit_rows

@@ -386,6 +386,29 @@ def test_contamination_against_brute_force(spark):
     assert got == wanted
 
 
+def test_every_accepted_placement_is_found(spark):
+    from itertools import combinations
+
+    for n in range(decontaminate.SHORTEST, decontaminate.WINDOW + 1):
+        assert decontaminate.least_hits(n, [*decontaminate.MASKS, *(decontaminate.MASKS_OF_5 if n == 5 else ())]) >= 1
+    items, docs = [], []
+    for n in [*range(5, 14), 20]:
+        words = [f"q{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        width = min(n, 13)
+        allowed = width - -(-decontaminate.SHARE * width // 1)
+        for others in combinations(range(width), int(allowed)):
+            changed = ["other" if i in others or i >= width else w for i, w in enumerate(words)]
+            docs.append((len(docs), "so it was " + " ".join(changed) + " as they say"))
+            docs.append((len(docs), " ".join(changed).removeprefix("other ").removesuffix(" other")))
+            # one more word changed
+            more = next(i for i in range(width) if i not in others)
+            docs.append((len(docs), "so it was " + " ".join("other" if i == more else w for i, w in enumerate(changed)) + " as they say"))
+    wanted = {(i, j) for i, t in docs for j, q in items if contaminated_by_brute_force(t, q)}
+    got = {(x["id"], x["item_id"]) for x in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == wanted and len(wanted) >= 2 * len(docs) // 3
+
+
 def test_shuffled_joins_give_the_same(spark, monkeypatch):
     r = random.Random(19)
     items = [(i, " ".join(f"v{r.randint(0, 300)}" for _ in range(25))) for i in range(6)]
