@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.llm.common import arrow_map
 
@@ -177,7 +178,7 @@ class Net:
             a, b = a - 0.05 * float((e * z).mean()), b - 0.05 * float(e.mean())
         self.scale, self.shift = a, b
         hits = np.sort((1 / (1 + np.exp(-(a * z + b))))[y == 1])
-        self.threshold = float(max(0.5, hits[int((1 - recall) * len(hits))]))
+        self.threshold = float(hits[int((1 - recall) * len(hits))])
 
     def probability(self, codes: np.ndarray, mask: np.ndarray) -> np.ndarray:
         out = [self.forward(codes[i : i + 512], mask[i : i + 512])[0] for i in range(0, len(codes), 512)]
@@ -304,7 +305,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = df.select(*[F.col(f"`{c}`") for c in (id_col, *keep)], F.col(f"`{text_col}`").cast("string").alias("__text"))
     fields = [f for f in own.schema.fields if f.name != "__text"]
     extra = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, top_probability double" + (", redacted string" if redact else "")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", " + extra
+    schema = T.StructType([*fields, *T.StructType.fromDDL(extra)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -346,13 +347,17 @@ def blanked(text: str, spans: list[tuple[int, int, int, float]]) -> str:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """documents with every secret replaced by REDACTED; n_chars follows the text; no row goes.
 
-    A null text stays null.
+    A null text stays null. Other columns pass unchanged, whatever their names are.
     """
     names = docs.columns
-    done = find_secrets(docs, "doc_id", "text", keep=tuple(c for c in names if c not in ("doc_id", "text")), redact=True)
-    touched = F.col("spans") != ""
-    changed = {"text": F.col("redacted"), "n_chars": F.when(touched, F.length("redacted").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None}
-    return done.select(*[changed[c].alias(c) if c in changed and changed[c] is not None else F.col(f"`{c}`") for c in names])
+    # under names of their own, which no output of find_secrets() has
+    carried = {c: f"__c{i}" for i, c in enumerate(names) if c != "text"}
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in carried.items()], F.col("text").alias("__whole"), F.lit(0).alias("__row"))
+    done = find_secrets(own, "__row", "__whole", keep=tuple(carried.values()), redact=True)
+    new = {c: F.col(n) for c, n in carried.items()} | {"text": F.col("redacted")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("spans") != "", F.length("redacted").cast("long")).otherwise(F.col(carried["n_chars"]))
+    return done.select(*[new[c].alias(c) for c in names])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ small-star rounds, each written to the shared folder.
 Equal fingerprints are one node from the start: copies cost one row each.
 Null and empty texts, and texts without words, have fingerprint zero, and are
 linked like any other. A row with a null id gets its component's smallest id;
-if no id of the component is known, null. Repeated rows each give a row.
+if no id of the component is known, null. Repeated rows each give a row. Rows
+that share an id but not a text are rows of their own, in components of their own.
 """
 
 from __future__ import annotations
@@ -61,15 +62,16 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The id and fingerprint (a signed long) for each row of df."""
-    own = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    """The id, print (a hash of the whole text) and fingerprint (a signed long) for each row of df."""
+    text = F.col(f"`{text_col}`").cast("string")
+    own = df.select(F.col(f"`{id_col}`"), F.xxhash64(text).alias("print"), text.alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fingerprint"])
+            found = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=[id_col, "print", "fingerprint"])
 
-    return arrow_map(own, run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fingerprint long")
+    return arrow_map(own, run, f"`{id_col}` {own.schema[0].dataType.simpleString()}, print long, fingerprint long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -79,12 +81,21 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius != 2:
         raise ValueError("the ball's half radius is one bit")
-    variants = nodes.select("fingerprint", F.explode(F.concat(F.array(F.col("fingerprint")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))).alias("variant"))
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fingerprint").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    ball = F.concat(F.array(F.col("fingerprint")), flips)
+    # each node becomes 65 rows: nodes are few bytes, and would else be packed into few tasks
+    variants = spread(nodes.select("fingerprint")).select("fingerprint", F.explode(ball).alias("variant"))
     least = F.min("fingerprint").over(Window.partitionBy("variant"))
     pairs = variants.select(least.alias("a"), F.col("fingerprint").alias("b")).filter("a < b").distinct()
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """nodes in as many partitions as a shuffle has, whatever their size."""
+    spark = nodes.sparkSession
+    return nodes.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *nodes.columns)
+
+
 def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of pairs (a, b); root is the component's least node.
 
@@ -120,32 +131,38 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """The id, fingerprint (a signed long) and component_id for each row of df."""
+    """The id, print, fingerprint (a signed long), root (the component's node) and component_id for each row of df."""
     prints = written(fingerprints(df, id_col, text_col, words), "prints")
-    nodes = prints.groupBy("fingerprint").agg(F.min(f"`{id_col}`").alias("least_id"))
+    nodes = written(prints.groupBy("fingerprint").agg(F.min(f"`{id_col}`").alias("least_id")), "nodes")
     roots = components(links(nodes))
     of = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     of = written(of, "roots")
     least = written(of.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    named = of.join(least, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+    named = of.join(least, "root").select("fingerprint", "root", "component_id")
+    return prints.join(named, "fingerprint").select(id_col, "print", "fingerprint", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """documents with one row of each component: the one with the smallest doc_id.
+    """documents with one row of each component: the one with the smallest doc_id, then the smallest print.
 
-    The components are of's (doc_id, component_id), or those of near_duplicates().
-    Rows without a doc_id go only if another row of their component has one. The
-    ids that go are broadcast up to a counted size, else shuffled.
+    The components are of's (doc_id, print, root), or those of near_duplicates(). Null
+    ids come last, so a row without an id goes only if its component has another row.
+    Rows are told apart by id and text: a row that shares its id with one that goes stays.
+    Of rows that are the same in both one stays. What goes is broadcast up to a counted
+    size, else shuffled.
     """
-    found = written(near_duplicates(docs) if of is None else of, "components")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if small_enough(gone) else gone, "doc_id", "left_anti")
-    if found.filter("doc_id is null").limit(1).count():
-        kept = kept.filter(F.col("doc_id").isNotNull())
-    if found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    found = written((near_duplicates(docs) if of is None else of).select("doc_id", "print", "root"), "components")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("print").alias("print"))
+    groups = written(found.groupBy("root").agg(F.min(rank).alias("kept"), F.max(rank).alias("last"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    several = groups.filter(F.col("kept") != F.col("last")).select("root", "kept")
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("kept.id")) & (F.col("print") == F.col("kept.print")))
+    gone = written(found.join(several, "root").filter(goes).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct(), "gone")
+    text = F.xxhash64(F.col("text").cast("string"))
+    side = F.broadcast(gone) if small_enough(gone) else gone
+    kept = docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (text == F.col("__print")), "left_anti")
+    if found.groupBy("doc_id", "print").count().filter("count > 1").limit(1).count():
+        kept = kept.withColumn("__print", text).dropDuplicates(["doc_id", "__print"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

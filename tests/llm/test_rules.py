@@ -105,6 +105,15 @@ def test_redaction(spark):
     assert got[1]["text"] == "x [SECRET] y" and got[1]["n_chars"] == 12 and tuple(got[2]) == (2, "plain", "en", "s", 5)
 
 
+def test_redaction_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x token = abcdef123456 y", 24, "a", 1, "r", ("n",))], "doc_id long, text string, n_chars long, spans string, n_hex int, redacted string, `odd-name` struct<`top probability`:string>")
+    (row,) = secrets.redact_secrets(docs).collect()
+    assert secrets.redact_secrets(docs).columns == docs.columns
+    assert tuple(row)[:6] == (1, "x [SECRET] y", 12, "a", 1, "r") and row["odd-name"][0] == "n"
+    bare = docs.select("doc_id", "text", "spans")
+    assert [tuple(r) for r in secrets.redact_secrets(bare).collect()] == [(1, "x [SECRET] y", "a")]
+
+
 # --- personal data ---------------------------------------------------------------------
 def luhn(d):
     return sum(v - 9 * (v > 9) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0

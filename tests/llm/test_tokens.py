@@ -272,6 +272,7 @@ def test_links_and_components_against_brute_force(spark):
     distinct = {signed(p): p for p in prints}
     nodes = spark.createDataFrame([(s,) for s in distinct], "fingerprint long")
     pairs = simhash.links(nodes)
+    assert simhash.spread(nodes).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert all((distinct[x["a"]] ^ distinct[x["b"]]).bit_count() <= 2 for x in pairs.collect())
     got = {x["node"]: x["root"] for x in simhash.components(pairs).collect()}
     assert {s: got.get(s, s) for s in distinct} == brute_components(distinct)
@@ -287,12 +288,47 @@ def test_near_duplicates_on_edges(spark):
     rows = [(9, None), (4, ""), (7, " \n"), (11, "a b c d e " * 30_000), (2, "a b c d e " * 30_000), (None, "lone words here"), (6, "same text is here"), (6, "same text is here"), (None, "")]
     got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted([(9, 4), (4, 4), (7, 4), (None, 4), (11, 2), (2, 2), (None, None), (6, 6), (6, 6)], key=str)
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == [2, 4, 6]
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def one_of_each_by_brute_force(rows, linked):
+    """The (id, text) that stay, each once: of linked rows the one with the least id, null last, then the least hash of the text."""
+    rows = sorted(set(rows), key=str)
+    root = list(range(len(rows)))
+    for i, (_, a) in enumerate(rows):
+        for j, (_, b) in enumerate(rows[:i]):
+            if linked(a, b):
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    return rows, root
+
+
+@pytest.mark.parametrize("find", ["bits", "words"])
+def test_one_of_each_against_brute_force(spark, find):
+    many = "the quick brown fox jumps over the lazy dog and runs away from all of the others at once today"
+    rows = [(3, "alpha beta gamma delta"), (5, "alpha beta gamma delta"), (5, "something else altogether is here"), (3, "one text that nothing resembles"), (None, "a text without any id"), (None, many), (8, many), (None, "null id one"), (None, "null id two"), (None, "null id one")]
+    rows += [(2, None), (1, ""), (1, None), (6, "same same same"), (6, "same same same"), (7, many), (9, "alpha beta gamma delta")]
+    def prints(t):
+        return brute_fingerprint(t)
+
+    near = {"bits": lambda a, b: (prints(a) ^ prints(b)).bit_count() <= 2, "words": lambda a, b: (a or "").split() == (b or "").split()}[find]
+    told, root = one_of_each_by_brute_force(rows, near)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("root", F.lit(1)).withColumn("print", F.lit("x"))
+    kept = simhash.one_of_each(docs) if find == "bits" else simhash.one_of_each(docs, nearcopies.near_copies(docs))
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # each group keeps one row, one with its least id
+    groups = {}
+    for r, row in zip(root, told, strict=True):
+        groups.setdefault(r, []).append(row)
+    assert len(got) == len(set(got)) == len(groups)
+    for members in groups.values():
+        stay = [x for x in members if x in got]
+        assert len(stay) == 1 and (stay[0][0] is None) == all(i is None for i, _ in members)
+        assert stay[0][0] is None or stay[0][0] == min(i for i, _ in members if i is not None)
+    assert simhash.one_of_each(docs.filter("false")).count() == 0
+
+
 def jaccard_components(texts):
     """The least id of the component of each id, by all pairs."""
     def cut(t):
@@ -435,7 +471,7 @@ def test_pipeline_against_its_stages_in_plain_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     # language: no document of these is rejected, as all are in modelled languages
-    components = brute_components({d["doc_id"]: brute_fingerprint(d["text"]) for d in docs})
+    components = jaccard_components({d["doc_id"]: d["text"] or "" for d in docs})
     kept = [d for d in docs if components[d["doc_id"]] == d["doc_id"]]
     seeds = [{" ".join(norm(q)[i : i + 3]) for i in range(len(norm(q)) - 2)} for q in items]
 
