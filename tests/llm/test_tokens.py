@@ -365,6 +365,24 @@ def test_near_copies_against_brute_force(spark, monkeypatch, few):
     assert got == wanted and len(set(wanted.values())) < len(texts)
 
 
+def test_copies_that_only_resemble_their_source(spark, monkeypatch):
+    """Large groups whose members link through one text, and groups that share a key but no link."""
+    monkeypatch.setattr(nearcopies, "FEW", 3)
+    r = random.Random(29)
+    texts = {}
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(400)]
+        texts[len(texts)] = " ".join(base)
+        for _ in range(25):
+            copy = list(base)
+            for at in r.sample(range(0, 400, 5), 8 + g):
+                copy[at] = f"x{r.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+    wanted = jaccard_components(texts)
+    got = {x["doc_id"]: x["component_id"] for x in nearcopies.near_copies(frame(spark, list(texts.items()))).collect()}
+    assert got == wanted
+
+
 def test_near_dedup_stage_takes_near_copies(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     wanted = jaccard_components({d["doc_id"]: d["text"] or "" for d in docs.collect()})
