@@ -18,9 +18,12 @@ shuffle; likewise the texts that were hit. Only their words are looked at again,
 verifying doesn't shuffle all texts. A passage that a third of all texts share makes
 hits in proportion to its copies; nothing is paired with other copies.
 
-Null and empty texts and items are never contaminated. Items with fewer than SHORTEST
-words are no evidence and match nothing. Texts are read whole; repeated rows each give their rows; extra columns are
-ignored; a null id is kept.
+Items of fewer than SHORTEST words allow no substitution (SHARE of so few is all of them):
+all their words must stand one after another, and their one seed is all of them.
+
+Null and empty texts and items are never contaminated. Texts are read whole; repeated rows
+each give a row for each item; items that share an id but not a text are items of their own,
+and repeated ones count once; extra columns are ignored; a null id is kept.
 """
 
 from __future__ import annotations
@@ -89,39 +92,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     matched: agreeing places on the best diagonal; in_window: the best window's; share: matched of the item's words.
     """
     trimmed = F.filter(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
-    items = benchmark.select("item_id", F.transform(trimmed, lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") >= SHORTEST).distinct()
-    items = written(items, "items")
-    masks = [*MASKS, *(MASKS_OF_5 if items.filter(F.size("w") == 5).limit(1).count() else ())]
-    least = F.array(*[F.lit(least_hits(n, masks)) for n in range(SHORTEST, WINDOW + 1)])
-    items_by_need = items.withColumn("needed", F.get(least, F.least(F.size("w"), F.lit(WINDOW)) - SHORTEST))
-    wanted = seeded(items_by_need, masks, "item_id", "needed").select("item_id", "needed", F.col("place").alias("item_place"), "seed")
-    wanted = written(wanted, "seeds")
+    items = benchmark.select("item_id", F.transform(trimmed, lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") > 0).distinct()
+    items = written(items.withColumn("item", F.xxhash64("item_id", "w")), "items")
+    n = F.size("w")
+    sizes = {r[0] for r in items.filter(n <= SHORTEST).select(n).distinct().collect()}
+    long = [*MASKS, *(MASKS_OF_5 if SHORTEST in sizes else ())]
+    exact = {k: "1" * k for k in sorted(sizes - {SHORTEST})}
+    least = F.array(*[F.lit(least_hits(k, long)) for k in range(SHORTEST, WINDOW + 1)])
+    needs = items.withColumn("needed", F.get(least, F.least(n, F.lit(WINDOW)) - SHORTEST))
+    found = seeded(needs.filter(n >= SHORTEST), long, "item", "needed")
+    for k, mask in exact.items():
+        found = found.unionByName(seeded(items.filter(n == k).withColumn("needed", F.lit(1)), [mask], "item", "needed"))
+    masks = [*long, *[m for m in exact.values() if m not in long]]
+    wanted = written(found.select("item", "needed", F.col("place").alias("item_place"), "seed"), "seeds")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("text is not null and text <> ''").withColumn("print", F.xxhash64("text"))
     every = seeded(rows.select("id", "print", words(F.col("text")).alias("w")), masks, "id", "print")
     side = F.broadcast(wanted) if small_enough(wanted, SEED_ROWS) else wanted
-    met = every.join(side, "seed").groupBy("id", "print", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("needed").alias("needed"))
-    hits = written(met.filter("n >= needed").select("id", "print", "item_id", "diagonal"), "hits")
-    hit_rows = hits.groupBy("id", "print").agg(F.collect_list(F.struct("item_id", "diagonal")).alias("hits"))
+    met = every.join(side, "seed").groupBy("id", "print", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(F.count("*").alias("n"), F.min("needed").alias("needed"))
+    hits = written(met.filter("n >= needed").select("id", "print", "item", "diagonal"), "hits")
+    hit_rows = hits.groupBy("id", "print").agg(F.collect_list(F.struct("item", "diagonal")).alias("hits"))
     hit_rows = written(hit_rows.withColumnRenamed("id", "id_").withColumnRenamed("print", "print_"), "hit-rows")
     near = F.broadcast(hit_rows) if small_enough(hit_rows) else hit_rows
     again = rows.join(near, F.col("id").eqNullSafe(F.col("id_")) & (F.col("print") == F.col("print_"))).select("id", "print", words(F.col("text")).alias("w"), "hits")
     # only the words that an item would cover go on with a hit
     longest = items.agg(F.max(F.size("w"))).first()[0] or 0
-    cut = F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["diagonal"].alias("diagonal"), F.slice("w", F.greatest(h["diagonal"], F.lit(0)) + 1, F.lit(longest)).alias("piece")))
+    cut = F.transform("hits", lambda h: F.struct(h["item"].alias("item"), h["diagonal"].alias("diagonal"), F.slice("w", F.greatest(h["diagonal"], F.lit(0)) + 1, F.lit(longest)).alias("piece")))
     pieces = again.select("id", "print", F.explode(cut).alias("h")).select("id", "print", "h.*")
     side = F.broadcast(items) if small_enough(items, SEED_ROWS // 20) else items
-    both = pieces.join(side, "item_id")
+    both = pieces.join(side, "item")
     skipped = F.greatest(-F.col("diagonal"), F.lit(0))
     agree = F.transform("w", lambda x, j: F.when((j >= skipped) & (F.get("piece", j - skipped) == x), 1).otherwise(0))
-    flagged = both.select("id", "print", "item_id", agree.alias("agree"))
+    flagged = both.select("id", "print", "item", "item_id", "diagonal", agree.alias("agree"))
     n = F.size("agree")
     width = F.least(n, F.lit(WINDOW))
     add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     windows = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: add(F.slice("agree", i, width)))
-    scored = flagged.select("id", "print", "item_id", add(F.col("agree")).alias("matched"), n.alias("item_words"), F.array_max(windows).alias("in_window"), width.alias("width"))
+    scored = flagged.select("id", "print", "item", "item_id", "diagonal", add(F.col("agree")).alias("matched"), n.alias("item_words"), F.array_max(windows).alias("in_window"), width.alias("width"))
     good = scored.filter(F.col("in_window") >= F.ceil(F.lit(SHARE) * F.col("width")))
-    best = good.groupBy("id", "print", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"), F.max("in_window").alias("in_window"))
-    return best.withColumn("share", F.round(F.col("matched") / F.col("item_words"), 6))
+    # repeated rows meet on each diagonal once for each of them
+    most = [F.max(c).alias(c) for c in ("item_id", "matched", "item_words", "in_window")]
+    rows = good.groupBy("id", "print", "item", "diagonal").agg(*most, F.count("*").alias("rows"))
+    best = rows.groupBy("id", "print", "item").agg(*most, F.max("rows").alias("rows")).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    long_ = [F.col(c).cast("long").alias(c) for c in ("matched", "item_words", "in_window")]
+    return best.select("id", "print", "item_id", *long_, F.round(F.col("matched") / F.col("item_words"), 6).alias("share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -134,4 +147,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "item_words", "in_window", "share").distinct()
+    return found.select(F.col("id").alias("doc_id"), "item_id", "matched", "item_words", "in_window", "share")
+
+
+#: The rule over all diagonals where a word agrees, without seeds.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+dw AS (SELECT doc_id, r, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM i),
+a AS (SELECT doc_id, r, item_id, n, dw.p - iw.p AS diagonal, iw.p FROM dw JOIN iw USING (w)),
+g AS (SELECT r, item_id, n, diagonal FROM a GROUP BY ALL HAVING count(*) >= ceil(0.8 * least(n, 13))),
+f AS (SELECT a.*, count(*) OVER (PARTITION BY r, item_id, n, diagonal ORDER BY p RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS inside FROM a SEMI JOIN g USING (r, item_id, n, diagonal)),
+m AS (SELECT doc_id, r, item_id, n, diagonal, count(*) AS matched, max(inside) AS in_window FROM f GROUP BY ALL HAVING max(inside) >= ceil(0.8 * least(n, 13)))
+SELECT doc_id, item_id, max(matched) AS matched, n AS item_words, max(in_window) AS in_window, round(max(matched) / n::DOUBLE, 6) AS share FROM m GROUP BY doc_id, r, item_id, n
+"""
