@@ -16,14 +16,18 @@ third of all rows costs one row for each task. Prior tables are broadcast up to
 counted size, else joined by shuffle.
 
 The trigram model is fitted on a bounded sample of labelled rows: about SAMPLE for
-each declared language with at least LEAST rows, chosen by a hash of the id.
+each declared language with at least LEAST rows, chosen by a hash of the id and text.
+Declarations count by their primary subtag (en for en-GB); what isn't two or three letters,
+and und, mul, zxx and mis, declare nothing.
 
 A text's language is the likeliest of the model's if these have SURE of the posterior
 together, else "und", and then the text is rejected. A text in two of the languages is
-not: it has one of them. Null and empty
+not: it has one of them. A text that is none of them, but is declared to be in a language
+with too few rows to be modelled, has that language, and isn't rejected. Of languages that
+are equally likely the first by name wins. Null and empty
 texts have no text evidence: they are "und". Null declarations and hosts are no
 evidence. Texts are scored whole; repeated rows each give a row; an empty table gives
-an empty result; extra columns are kept only where asked for.
+an empty result; extra columns are kept, but for those with an output's name.
 """
 
 from __future__ import annotations
@@ -101,7 +105,10 @@ def log_likelihoods(texts: list[str], model: Model) -> np.ndarray:
         data = np.frombuffer(b"".join(encoded) + b"  ", np.uint8)
         keys = hashed(data)
         good = lettered(data)
-        first = np.concatenate([[0], np.cumsum([len(e) for e in encoded])[:-1]])
+        ends = np.cumsum([len(e) for e in encoded])
+        first = np.concatenate([[0], ends[:-1]])
+        # no trigram reaches into the next text
+        good[ends - 1] = good[ends - 2] = False
         for k in range(len(model.languages)):
             out[a:b, k] = np.add.reduceat(np.where(good, model.logs[:, k][keys], 0), first) * TEMPER
     return out
@@ -112,23 +119,29 @@ def normalised(logs: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def subtag(declared: Column) -> Column:
+    """A declaration's primary language subtag in lower case; null if it names no language."""
+    first = F.regexp_extract(F.lower(declared), r"^\s*([a-z]{2,3})(?:[-_].*|\s*)$", 1)
+    return F.when(~first.isin("", "und", "mul", "zxx", "mis"), first)
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from rows (id, text, declared): counts by language, then a sample by the id's hash."""
-    labelled = rows.filter("declared is not null and declared <> ''")
-    counts = {r[0]: r[1] for r in labelled.groupBy("declared").count().filter(F.col("count") >= LEAST).orderBy(F.desc("count"), "declared").limit(200).collect()}
+    labelled = rows.withColumn("declared", subtag(F.col("declared"))).filter("declared is not null")
+    counts = {r[0]: r[1] for r in labelled.groupBy("declared").count().filter(F.col("count") >= LEAST).collect()}
     if not counts:
         return fit([])
-    rate = F.coalesce(*[F.when(F.col("declared") == lang, min(1.0, sample / n)) for lang, n in counts.items()])
-    chosen = labelled.filter(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1_000_000)) < rate * 1_000_000)
+    rate = F.coalesce(*[F.when(F.col("declared") == lang, min(1.0, sample / n)) for lang, n in sorted(counts.items())])
+    chosen = labelled.filter(F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1_000_000)) < rate * 1_000_000)
     return fit(sorted((r[0], r[1] or "") for r in chosen.select("declared", "text").collect()))
 
 
 def scored(rows: DataFrame, model: Model, drop_text: bool) -> DataFrame:
-    """rows with scores (array of float: log likelihoods) and letters (boolean: the text has any)."""
+    """rows with __scores (array of float: log likelihoods)."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     names = [c for c in rows.columns if c != "text" or not drop_text]
     own = rows.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__text"))
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField("scores", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("__scores", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,7 +149,7 @@ def scored(rows: DataFrame, model: Model, drop_text: bool) -> DataFrame:
             found = log_likelihoods(texts, shared.value)
             flat = pa.array((found - found.max(1, keepdims=True)).astype(np.float32).ravel() if len(texts) else [], pa.float32())
             offsets = pa.array(np.arange(len(texts) + 1) * found.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.ListArray.from_arrays(offsets, flat)], names=[*names, "scores"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.ListArray.from_arrays(offsets, flat)], names=[*names, "__scores"])
 
     return arrow_map(own, run, schema)
 
@@ -148,9 +161,9 @@ def softmax(logs: Column) -> Column:
 
 
 def priors(rows: DataFrame, model: Model) -> tuple[DataFrame, list[float], dict[str, list[float]]]:
-    """Of scored rows (host, suffix, declared, scores): logs of priors by (host, suffix), of the corpus, and of the declarations' likelihoods."""
+    """Of scored rows (host, suffix, declared, __scores): logs of priors by (host, suffix), of the corpus, and of the declarations' likelihoods."""
     n = len(model.languages)
-    p = rows.select("host", "suffix", "declared", softmax(F.transform("scores", lambda x: x.cast("double"))).alias("p"))
+    p = rows.select("host", "suffix", "declared", softmax(F.transform("__scores", lambda x: x.cast("double"))).alias("p"))
     sums = [F.sum(F.get("p", F.lit(k))).alias(f"s{k}") for k in range(n)]
     grouped = written(p.groupBy("host", "suffix", "declared").agg(*sums), "priors")
     add = [F.sum(f"s{k}").alias(f"s{k}") for k in range(n)]
@@ -176,36 +189,38 @@ def priors(rows: DataFrame, model: Model) -> tuple[DataFrame, list[float], dict[
 
 def identify(rows: DataFrame, keep_text: bool = False, model: Model | None = None) -> DataFrame:
     """rows (id, text, declared, host, suffix and others) with language, posterior, text_language, rejected; text goes unless kept."""
-    rows = rows.withColumn("text", F.col("text").cast("string"))
+    rows = rows.withColumn("text", F.col("text").cast("string")).withColumn("declared", subtag(F.col("declared")))
     model = model or train(rows.select("id", "text", "declared"))
     light = scored(rows.select("host", "suffix", "declared", "text"), model, drop_text=True)
     if not keep_text:
         rows = written(scored(rows, model, drop_text=True), "scores")
         light = rows
     table, base, likely = priors(light, model)
-    table = written(table, "hosts")
+    table = written(table.select(F.col("host_").alias("__host"), F.col("suffix__").alias("__suffix"), F.col("prior").alias("__prior")), "hosts")
     full = scored(rows, model, drop_text=False) if keep_text else rows
     side = F.broadcast(table) if small_enough(table) else table
-    joined = full.join(side, F.col("host").eqNullSafe(F.col("host_")) & F.col("suffix").eqNullSafe(F.col("suffix__")), "left")
+    joined = full.join(side, F.col("host").eqNullSafe(F.col("__host")) & F.col("suffix").eqNullSafe(F.col("__suffix")), "left")
     n = len(model.languages)
     none = F.array(*[F.lit(0.0)] * n)
     said = F.coalesce(*[F.when(F.col("declared") == d, F.array(*[F.lit(x) for x in logs])) for d, logs in sorted(likely.items())], none)
-    prior = F.coalesce("prior", F.array(*[F.lit(x) for x in base]))
-    logs = F.transform(F.arrays_zip(F.col("scores").alias("a"), prior.alias("b"), said.alias("c")), lambda x: x["a"].cast("double") + x["b"] + x["c"])
+    prior = F.coalesce("__prior", F.array(*[F.lit(x) for x in base]))
+    logs = F.transform(F.arrays_zip(F.col("__scores").alias("a"), prior.alias("b"), said.alias("c")), lambda x: x["a"].cast("double") + x["b"] + x["c"])
     names = F.array(*[F.lit(x) for x in model.languages])
-    empty = ~F.exists("scores", lambda x: x != 0)
+    empty = ~F.exists("__scores", lambda x: x != 0)
     found = joined.withColumn("__post", softmax(logs)).withColumn("__known", F.slice("__post", 1, n - 1))
     told = ~empty & (F.aggregate("__known", F.lit(0.0), lambda a, x: a + x) >= SURE)
+    rare = ~empty & F.col("declared").isNotNull() & ~F.array_contains(names, F.col("declared"))
     best = F.element_at(names, F.array_position(F.col("__known"), F.array_max("__known")).cast("int"))
-    text_best = F.element_at(names, F.array_position(F.col("scores"), F.array_max("scores")).cast("int"))
-    found = found.withColumn("language", F.when(told, best).otherwise(UND)).withColumn("text_language", F.when(empty, F.lit(UND)).otherwise(text_best))
+    text_best = F.element_at(names, F.array_position(F.col("__scores"), F.array_max("__scores")).cast("int"))
+    language = F.when(told, best).when(rare, F.col("declared")).otherwise(UND)
+    found = found.withColumn("language", language).withColumn("text_language", F.when(empty, F.lit(UND)).otherwise(text_best))
     found = found.withColumn("posterior", F.when(told, F.array_max("__known")).when(empty, 0.0).otherwise(F.element_at("__post", -1))).withColumn("rejected", F.col("language") == UND)
-    return found.drop("scores", "prior", "host_", "suffix__", "__post", "__known")
+    return found.drop("__scores", "__prior", "__host", "__suffix", "__post", "__known")
 
 
 def of_documents(docs: DataFrame, *more: Column) -> DataFrame:
     """documents as identify() takes them: the lang column declares, the source is the host, there is no address."""
-    declared = F.lower(F.trim(F.col("lang"))) if "lang" in docs.columns else F.lit(None).cast("string")
+    declared = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     host = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").alias("id"), F.col("text"), declared.alias("declared"), host.alias("host"), F.lit(None).cast("string").alias("suffix"), *more)
 
