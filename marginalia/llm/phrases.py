@@ -139,8 +139,11 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def bucket_of(key: Column, splits: list[int]) -> Column:
     """How many of splits (sorted) are at most key, in two steps of about the root of their number."""
     step = max(1, int(len(splits) ** 0.5))
-    every = F.array(*[F.lit(s).cast("long") for s in splits]) if splits else F.array().cast("array<long>")
-    coarse = F.size(F.filter(F.array(*[F.lit(s).cast("long") for s in splits[::step]]), lambda s: s <= key)) if splits else F.lit(0)
+    if not splits:
+        return F.lit(0)
+    # each list is one literal, folded when the plan is made
+    listed = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    every, coarse = listed(splits), F.size(F.filter(listed(splits[::step]), lambda s: s <= key))
     return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * step + F.size(F.filter(F.slice(every, (coarse - 1) * step + 1, F.lit(step)), lambda s: s <= key))).cast("int")
 
 
@@ -150,7 +153,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     The first row of each bucket goes to the bucket before it as well, marked as tail,
     and the first row of all to the last one; so each row's next one follows it in its
     own partition, and no task holds more than its bucket. A null id counts as least;
-    rows with one id are in order of their texts. One row for each bucket, its least
+    rows with one id are in order of their texts. Ids are whole numbers. One row for each bucket, its least
     id, comes to the driver.
     """
     key = F.coalesce(F.col("__id").cast("long"), F.lit(-(2**63)))
@@ -169,7 +172,12 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = dealt.join(F.broadcast(heads_df), "__key", "left")
     places = F.when(F.col("__before").isNull(), F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("t")))).otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("t")), F.struct(F.col("__before").alias("b"), F.lit(True).alias("t"))))
     spread = marked.select("__id", "__text", "__key", F.explode(places).alias("__p")).select("__id", "__text", "__key", F.col("__p.b").alias("__bucket"), F.col("__p.t").alias("__tail"))
-    return spread.repartition(max(1, len(heads)), "__bucket").sortWithinPartitions("__bucket", "__tail", "__key", "__text").select("__id", "__text", "__tail")
+    return _dealt(spread, heads[-1][0] + 1).sortWithinPartitions("__bucket", "__tail", "__key", "__text").select("__id", "__text", "__tail")
+
+
+def _dealt(spread: DataFrame, buckets: int) -> DataFrame:
+    """A partition for each bucket, by its number, so that none holds two."""
+    return spread.repartitionById(buckets, F.col("__bucket"))
 
 
 def edited(text: str, following: str) -> str:
