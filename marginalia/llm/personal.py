@@ -1,9 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
 1. Fixed rules give base spans (email, ip, card, phone); these seed entities stay.
-2. Each occurrence, of a seed or of any other run of identifier characters with four
-   or more digits, induces lexical patterns: the two words before it, and the words
-   around it, each with the coarse shape of what stands there.
+2. Each occurrence, of a seed or of any other candidate, induces lexical patterns: the two
+   words before it, the words around it, and the label before it (a word with a colon,
+   an equals sign, a number sign or an opening bracket), each with the class of what stands
+   there. Words count without case, digits and outer marks. Candidates are groups of seven
+   or more digits with single separators, names with an @, (at), [at] or "at" and a host, and
+   other runs of identifier characters with four or more digits. Classes are an address, four
+   numbers with dots, a long number (12 digits and more), a dialled one (of 7 to 15 digits
+   with a plus, brackets or separators, or 7 to 11 without) and all others.
 3. Patterns and instances (distinct values) form a graph, one edge for each distinct
    pair however many copies there are. A pattern's confidence for a kind is the share
    of its instances' scores, smoothed; an instance's score is 1 for its own kind if it
@@ -12,8 +17,8 @@
    base span touches becomes a span of the pattern's kind.
 
 Sums for a pattern or instance are partial before each shuffle; joins are of written
-tables, whose hot keys Spark can split. Only texts with a digit or an @ are looked at
-closely. Spans are found in the rows' own order of matches, by a window for each row.
+tables, whose hot keys Spark can split. Only texts with a digit or a sign of an
+address are looked at closely. Spans are found in the rows' own order of matches, by a window for each row.
 
 Null and empty texts have no spans; texts are scanned whole; repeated rows each give
 a row; rows with a null id are kept; extra columns are ignored. Offsets count code
@@ -37,8 +42,9 @@ RULES = {
     "card": r"[0-9](?:[ -]?+[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Runs of identifier characters with a digit.
-RUNS = r"(?<![0-9A-Za-z._%+@/-])(?=[A-Za-z._%+@/-]*+[0-9])[0-9A-Za-z._%+@/-]++"
+#: What else may be an identifier: spelled addresses, groups of digits, and runs of identifier characters with a digit.
+ADDRESS = r"[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]|(?: ?(?:\(at\)|\[at\]) ?| at (?=[A-Za-z0-9-]++\.))[A-Za-z0-9-]++)[A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*+"
+RUNS = r"(?<![0-9A-Za-z._%+@/-])(?:" + ADDRESS + r"|\(?\+?\(?[0-9](?:(?:[ ./-]|\) ?| \()?[0-9]){6,}+(?![0-9A-Za-z._%+@/-]*+[A-Za-z_%@])|(?=[A-Za-z._%+@/-]*+[0-9])[0-9A-Za-z._%+@/-]++)"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 ROUNDS, CONFIDENCE, SUPPORT, SMOOTHING = 3, 0.8, 5, 1.0
 
@@ -62,7 +68,7 @@ def holds(kind: str, match: Column) -> Column:
         "ip": match.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"),
         "card": F.length(digits).between(14, 19) & luhn(digits),
         "phone": F.length(digits).between(10, 15),
-        "run": F.length(digits) >= 4,
+        "run": (F.length(digits) >= 4) | match.rlike(r"@|\(at\)|\[at\]| at "),
     }[kind]
 
 
@@ -70,7 +76,7 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Spans of the rules and of other runs: id, print (of the text), kind, start, end, value, left, right."""
     text = F.col("text")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.filter(text.contains("@") | text.rlike("[0-9]")).withColumn("print", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.filter(text.rlike(r"[0-9@]|[(\[]at[)\]]| at [A-Za-z0-9-]++\.")).withColumn("print", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     guard = {"email": text.contains("@"), "ip": text.contains("."), "card": F.lit(True), "phone": text.contains("+"), "run": F.lit(True)}
     # one generator over the kinds, so that the texts are read once
     kinds = [*RULES, "run"]
@@ -97,12 +103,19 @@ def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def patterned(spans: DataFrame) -> DataFrame:
     """spans with the array of their lexical patterns."""
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
+    value, digits = F.col("value"), F.length(F.regexp_replace("value", "[^0-9]", ""))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), r"(?U)(?<!\S)[^\w\s:=#(]+|[^\w\s:=#(]+(?!\S)", "")
     two = plain(F.regexp_extract("left", r"((?:\S+\s+)?\S+)\s*$", 1))
     one = F.regexp_extract(two, r"(\S+)$", 1)
+    label = F.regexp_extract(plain(F.regexp_extract("left", r"(\S+(?:\s*[:=#(]+)?)\s*$", 1)), r"(?U)(\w+)\s*[:=#(]+$", 1)
     after = plain(F.regexp_extract("right", r"^\s*(\S+)", 1))
-    shape = F.when(F.col("value").contains("@"), "address").when(F.col("value").rlike("^[0-9 -]+$"), "number").when(F.col("value").rlike(r"^[0-9.]+$"), "dotted").when(F.col("value").rlike("^[+(0-9]"), "dialled").otherwise("mixed")
-    both = F.array(F.when(two != "", F.concat(F.lit("after "), two, F.lit(" | "), shape)), F.when((one != "") & (after != ""), F.concat(F.lit("between "), one, F.lit(" _ "), after, F.lit(" | "), shape)))
+    spaced = value.rlike(r"^\(?\+?[0-9 ()./-]+$")
+    shape = F.when(value.rlike(r"@|\(at\)|\[at\]| at "), "address").when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), "dotted")
+    shape = shape.when(value.rlike("^[0-9][0-9 -]*$") & (digits >= 12), "number").when(spaced & digits.between(7, 15) & (value.rlike("[^0-9]") | (digits <= 11)), "dialled").otherwise("mixed")
+    both = F.array(
+        F.when(two != "", F.concat(F.lit("after "), two, F.lit(" | "), shape)), F.when((one != "") & (after != ""), F.concat(F.lit("between "), one, F.lit(" _ "), after, F.lit(" | "), shape)),
+        F.when(label != "", F.concat(F.lit("label "), label, F.lit(" | "), shape)),
+    )
     return spans.withColumn("patterns", F.array_compact(both))
 
 
