@@ -41,14 +41,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements that hold no article, and those that mark one.
 OUTSIDE = set("nav footer aside form menu dialog fieldset".split())
 INSIDE = set("article main".split())
-#: Words of a class, id or role that speak against a block, and those that speak for it.
+#: Words of a class, id or role that speak against a block.
 AGAINST = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|crumbs|toolbar|pagination|pager|sidebar|side|"
-    r"aside|widget|related|recommend(?:ed|ations)?|teaser|footer|foot|header|masthead|topbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|"
-    r"share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|complementary|contentinfo|copyright|legal|disclaimer|skip|toc|tags?)(?:$|[-_ 0-9])",
+    r"(?:^|[-_])(?:ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo(?:tion)?|banner|nav|navbar|navigation|menu|breadcrumbs?|crumbs|toolbar|pagination|pager|sidebar|"
+    r"widget|related|recommend(?:ed|ations)?|teaser|footer|foot|topbar|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|complementary|contentinfo|copyright|disclaimer|skip|toc|tags?)(?:$|[-_0-9])",
     re.I,
 )
-FOR = re.compile(r"(?:^|[-_ ])(?:article|post|entry|story|main|content|body|text)(?:$|[-_ 0-9])", re.I)
+#: Words that speak against it unless the name also has one that speaks for it (entry-header, legal-text), and those.
+UNLESS = re.compile(r"(?:^|[-_])(?:header|masthead|legal|notice|side|aside|search)(?:$|[-_0-9])", re.I)
+FOR = re.compile(r"(?:^|[-_])(?:article|post|entry|story|main|content|body|text)(?:$|[-_0-9])", re.I)
 TAG = re.compile(r"""<!--(?:>|->|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|=|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)|'([^']*)|([^\s>]*))""", re.I)
 HIDDEN = re.compile(r"""(?:^|[\s"'/])hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -113,7 +115,7 @@ def blocks_of(page: str) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        if name in BLOCKS or name in SILENT:
+        if name in BLOCKS:
             flush()
             in_link = 0
         elif name == "br":
@@ -138,11 +140,13 @@ def blocks_of(page: str) -> list[Block]:
             head = True
         if name in BLOCKS and name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option", "html", "body", "h1", "h2", "h3", "h4", "h5", "h6") or name in ("span", "p", "li", "body") and m[3].strip():
             top = stack[-1]
-            told = " ".join(" ".join(x for x in a[1:] if x) for a in ATTRIBUTE.findall(m[3])) if m[3] else ""
+            told = " ".join(" ".join(x for x in a[1:] if x) for a in ATTRIBUTE.findall(m[3])).split() if m[3] else []
+            named = any(map(FOR.search, told))
+            bad = any(AGAINST.search(t) or (UNLESS.search(t) and not FOR.search(t)) for t in told)
             inside = top.inside or name in INSIDE
             outside = top.outside or name in OUTSIDE or (name == "header" and not top.inside)
-            against = top.against or (bool(AGAINST.search(told)) and name not in INSIDE and name != "body")
-            stack.append(Open(name, outside, against, inside, top.named or bool(FOR.search(told)), top.hidden or bool(m[3] and HIDDEN.search(m[3]))))
+            against = top.against or (bad and name not in INSIDE and name != "body")
+            stack.append(Open(name, outside, against, inside, top.named or named, top.hidden or bool(m[3] and HIDDEN.search(m[3]))))
     flush()
     return out
 
@@ -166,6 +170,7 @@ def describe(blocks: list[Block]) -> list[list[float]]:
 #: The small labelled table: pages whose blocks are marked, + for article and - for the rest, in order of their text.
 LONG = "Several sentences of plain prose stand here, one after another, as articles have them. They go on for a while, without any links, and end with a full stop."
 MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Sport today</a></li></ul>'
+LINK = '<a href="/l">Nine words of a long link to another page</a>'
 PAGES = [
     (f'<nav>{MENU}</nav><div class="ad">Buy one now and get another one for nothing at all.</div><article><h1>A title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></article><footer>&copy; somebody</footer>', "----++++-"),
     (f'<nav>{MENU}</nav><article><h1>Another title of an article</h1><p>Yes.</p><p><b>No.<br></p><p>{LONG}</p></article><footer>{LONG}</footer>', "---++++-"),
@@ -187,6 +192,13 @@ PAGES = [
     (f'<p>{LONG}</p>', "+"), ("<p>Only a few words here.</p>", "+"), ("<div>One line</div><div>and one more line of it</div>", "++"),
     (f'<article><p>{LONG}</p><p><a href="/z">A line that is a link as a whole</a></p><p>{LONG}</p></article><p>{LONG}</p>', "+++-"),
     (f'<article><div class="notice"><p>{LONG}</p></div><p>One word</p><p>Two</p><p>Three words more.</p></article><div class="banner">Sale</div>', "-+++-"),
+    (f'<nav><ul><li>{LINK}</li><li>{LINK}</li><li><a href="/n">Home</a></li></ul></nav><article><h1>Title</h1><p>{LONG}</p><p>{LINK}</p><p>Two words.</p></article>', "---++++"),
+    (f'<article><h1>Title</h1><p>{LONG}</p></article><aside class="related"><h3>More of it</h3><p>{LINK}</p><p>{LINK}</p></aside><footer><p>{LINK}</p><p>{LONG}</p></footer>', "++-----"),
+    (f'<main><h1>Title</h1><p>{LONG}</p><p>{LINK}</p><div class="related"><p>{LINK}</p><p>{LINK}</p></div></main><div class="sidebar"><p>{LINK}</p></div>', "+++---"),
+    (f'<div class="menu"><p>{LINK}</p><p>{LINK}</p></div><p>{LONG}</p><p>{LONG}</p><div id="footer"><p>{LINK}</p></div>', "--++-"),
+    (f'<article><div class="entry-header"><h1>Title</h1><p>By somebody</p></div><div class="legal-text"><p>{LONG}</p></div><p>{LINK}</p></article><div class="legal">{LONG}</div>', "++++-"),
+    (f'<div><p>{LINK}</p><p>{LINK}</p><p>{LINK}</p></div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div><p>{LINK}</p><p>{LINK}</p></div>', "---+++--"),
+    (f'<form><p>{LONG}</p></form><dialog><p>{LONG}</p></dialog><article><p>Short one.</p><p>{LONG}</p></article><div class="share"><p>{LINK}</p></div>', "--++-"),
     (f'<main><article><h1>T</h1><p>x</p></article></main><div class="popup">{LONG}</div><section id="comments"><article><p>{LONG}</p></article></section>', "++--"),
 ]
 
