@@ -24,12 +24,14 @@ ignored.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +40,24 @@ from marginalia.llm.common import arrow_map
 
 #: A match has this Dice coefficient at least.
 DICE = 0.8
-#: Templates of up to so many bigrams are sentences.
-SENTENCE = 20
+#: Templates of up to so many bigrams are sentences; windows of larger ones than LONG are counted in arrays.
+SENTENCE, LONG = 20, 64
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 COPYRIGHT = re.compile(r"^\s*(?:copyright|\(c\)|©).*$", re.I | re.M)
-#: Notices and texts of common licences.
+#: Whole texts of licences, as files in texts/, by the licence's name.
+WHOLE = {
+    "Apache-2.0": "Apache-2.0.txt",
+    "Artistic-1.0-Perl": "Artistic.txt",
+    "CC0-1.0": "CC0-1.0.txt",
+    "GFDL-1.3": "GFDL-1.3.txt",
+    "GPL-2.0": "GPL-2.txt",
+    "GPL-3.0": "GPL-3.txt",
+    "LGPL-2.1": "LGPL-2.1.txt",
+    "LGPL-3.0": "LGPL-3.txt",
+    "MPL-1.1": "MPL-1.1.txt",
+    "MPL-2.0": "MPL-2.0.txt",
+}
+#: Notices and short texts of common licences.
 TEMPLATES = {
     "Apache-2.0 notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
@@ -86,7 +101,20 @@ See the GNU General Public License for more details. You should have received a
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All rights reserved line": "All rights reserved.",
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "EPL-2.0 notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to
+anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
+# the third condition stands between the second and the disclaimer
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED""", 1)
+# the notices of this family differ in the licence's name and version only
+TEMPLATES["GPL-2.0 notice"] = TEMPLATES["GPL-3.0 notice"].replace("version 3", "version 2")
+TEMPLATES["LGPL-3.0 notice"] = TEMPLATES["GPL-3.0 notice"].replace("General Public", "Lesser General Public")
+TEMPLATES["AGPL-3.0 notice"] = TEMPLATES["GPL-3.0 notice"].replace("General Public", "Affero General Public")
+TEMPLATES |= {name: pkgutil.get_data("marginalia.llm", f"texts/{file}").decode("utf-8") for name, file in WHOLE.items()}
 
 
 def words_of(text: str) -> list[str]:
@@ -114,22 +142,33 @@ class Matcher:
         # a hair wider, as a candidate may be just on a bound
         self.bounds = {name: (n * least / (2 - least) - 1e-6, n * (2 - least) / least + 1e-6) for name, n in self.sizes.items()}
         self.smallest, self.largest = min(b[0] for b in self.bounds.values()), max(b[1] for b in self.bounds.values())
-        self.any = {g for c in self.grams.values() for g in c}
-        self.holders = {g: [n for n, c in self.grams.items() if g in c] for g in self.any}
+        self.holders: dict[tuple[str, str], list[str]] = {}
+        for name, c in self.grams.items():
+            for g in c:
+                self.holders.setdefault(g, []).append(name)
+        self.of_size: dict[int, tuple[list[str], set[tuple[str, str]]]] = {}
+
+    def eligible(self, n: int) -> tuple[list[str], set[tuple[str, str]]]:
+        """The templates that n bigrams may match, and all of their bigrams."""
+        if n not in self.of_size:
+            names = [name for name, (low, high) in self.bounds.items() if low <= n <= high]
+            self.of_size[n] = names, set().union(*(self.grams[x] for x in names))
+        return self.of_size[n]
 
     def best(self, words: list[str]) -> tuple[float, str, int] | None:
         """(Dice, template, templates compared) of a candidate's best template, if it is close enough."""
         n = len(words) - 1
-        if not self.smallest <= n <= self.largest or self.any.isdisjoint(zip(words, words[1:])):
+        if not self.smallest <= n <= self.largest:
+            return None
+        names, any_of = self.eligible(n)
+        if any_of.isdisjoint(zip(words, words[1:])):
             return None
-        grams, found, tried = Counter(zip(words, words[1:])), (0.0, ""), 0
-        for name, (low, high) in self.bounds.items():
-            if low <= n <= high:
-                tried += 1
-                dice = 2 * (grams & self.grams[name]).total() / (n + self.sizes[name])
-                if dice >= self.least and dice > found[0]:
-                    found = dice, name
-        return (*found, tried) if found[1] else None
+        grams, found = Counter(zip(words, words[1:])), (0.0, "")
+        for name in names:
+            dice = 2 * (grams & self.grams[name]).total() / (n + self.sizes[name])
+            if dice >= self.least and dice > found[0]:
+                found = dice, name
+        return (*found, len(names)) if found[1] else None
 
     def scan(self, text: str) -> list[tuple[float, str, int, int]]:
         """(Dice, template, start, end) of the candidates that match; spans are code points."""
@@ -145,10 +184,11 @@ class Matcher:
 
     def windows(self, words: list[str]) -> list[tuple[int, float, str, int, int]]:
         """(shared bigrams, Dice, template, first bigram, last) of the best windows that don't overlap, for each template."""
-        at: dict[str, list[tuple[int, tuple[str, str]]]] = {}
+        at: dict[str, list[tuple[int, tuple[str, str]]]] = {name: [] for name, (low, _) in self.bounds.items() if low <= len(words) - 1}
         for i, g in enumerate(zip(words, words[1:])):
             for name in self.holders.get(g, ()):
-                at.setdefault(name, []).append((i, g))
+                if name in at:
+                    at[name].append((i, g))
         out = []
         for name, hits in at.items():
             if len(hits) >= self.bounds[name][0]:
@@ -163,6 +203,9 @@ class Matcher:
         """(Dice, shared, first, last) of the best window from each hit, if it is close enough."""
         grams, size, (low, high) = self.grams[name], self.sizes[name], self.bounds[name]
         least_n = size if size <= SENTENCE else 0
+        if size > LONG:
+            yield from self._in_arrays(name, hits)
+            return
         # what the longest window from a hit shares bounds all windows from there
         held, shared, end = Counter(), 0, 0
         for k, (i, first) in enumerate(hits):
@@ -185,6 +228,30 @@ class Matcher:
             shared -= held[first] <= grams[first]
             held[first] -= 1
 
+    def _in_arrays(self, name: str, hits: list[tuple[int, tuple[str, str]]]) -> Iterator[tuple[float, int, int, int]]:
+        """What _from_each gives for a template of many bigrams, in arrays of a window's hits.
+
+        A hit counts in a window unless the template's number of that bigram is reached
+        there before it, that is, if the window begins after the hit so many of the same before.
+        """
+        grams, size, (low, high) = self.grams[name], self.sizes[name], self.bounds[name]
+        seen: dict[tuple[str, str], list[int]] = {}
+        before = np.full(len(hits), -1)
+        for h, (_, g) in enumerate(hits):
+            own = seen.setdefault(g, [])
+            if len(own) >= grams[g]:
+                before[h] = own[-grams[g]]
+            own.append(h)
+        places = np.array([i for i, _ in hits])
+        ends = np.searchsorted(places, places + int(high) - 1, side="right")
+        for k in np.flatnonzero(ends - np.arange(len(hits)) >= low):
+            both = np.cumsum(before[k : ends[k]] < k)
+            if both[-1] >= low:
+                dice = 2 * both / (places[k : ends[k]] - places[k] + 1 + size)
+                j = int(dice.argmax())
+                if dice[j] >= self.least:
+                    yield float(dice[j]), int(both[j]), int(places[k]), int(places[k + j])
+
     def settled(self, text: str, whole: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
         """whole, the matches of the other candidates, and the windows, as (Dice, template, start, end), without those that a stronger one explains."""
         words = words_of(text)
