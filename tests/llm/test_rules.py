@@ -158,6 +158,51 @@ def test_contexts_discover_what_rules_miss(spark):
     assert got[80] == "card:16:32" and got[81] == ""
 
 
+def planted_identifiers(seed):
+    """Texts, and for each the span that must be found besides the rules' (start, end, kind), if any."""
+    r = random.Random(seed)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    name = lambda: "".join(r.choices("abcdefghij", k=6))
+    prose = lambda: " ".join(r.choices("the cat sat on a mat and looked at some birds while rain fell".split(), k=r.randint(3, 9)))
+
+    def card(valid):
+        while True:
+            d = digits(16)
+            if luhn(d) == valid:
+                return d
+
+    seeds = {"phone": lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", "email": lambda: f"{name()}@{name()}.org", "card": lambda: card(True), "ip": lambda: f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(1, 255)}"}
+    misses = {"phone": lambda: r.choice([f"030 {digits(6)} {digits(2)}", f"0{digits(3)}-{digits(6)}", f"(0{digits(2)}) {digits(7)}"]), "email": lambda: r.choice([f"{name()} (at) {name()}.org", f"{name()}[at]{name()}.net", f"{name()}@{name()}", f"{name()} at {name()}.com"]), "card": lambda: card(False), "ip": lambda: f"300.{r.randint(0, 255)}.{r.randint(0, 255)}.1"}
+    labels = {"phone": ["Tel: ", "call us under ", "phone = "], "email": ["Mail: ", "please write to ", "contact ("], "card": ["card number ", "Card# ", "paid with "], "ip": ["login from ", "host = ", "Address: "]}
+    out = []
+    for kind in seeds:
+        for i in range(90):
+            front = prose() + ". " + r.choice(labels[kind])
+            value = seeds[kind]() if i < 60 else misses[kind]()
+            out.append((front + value + r.choice([" ", ", ", ". "]) + prose(), None if i < 60 else (len(front), len(front) + len(value), kind)))
+    for _ in range(150):
+        out.append((prose() + r.choice([" order ", " item no ", " at ", " in ", " number: ", " size = "]) + r.choice([digits(9), digits(16), f"{digits(2)} {digits(3)} {digits(3)}", f"{name()}@{name()}", f"v{digits(2)}.{digits(4)}", f"300.{digits(3)}.{digits(2)}.1"]) + " " + prose(), None))
+    r.shuffle(out)
+    return out
+
+
+def test_planted_near_misses_are_discovered(spark):
+    texts = planted_identifiers(5)
+    got = {x["doc_id"]: x["spans"] for x in personal.find_personal(frame(spark, [(i, t) for i, (t, _) in enumerate(texts)])).collect()}
+    right = wrong = 0
+    for i, (text, want) in enumerate(texts):
+        base = {f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in personal_by_brute_force(text)}
+        added = set(filter(None, got[i].split(","))) - base
+        wanted = {f"{want[2]}:{want[0]}:{want[1]}"} if want else set()
+        if added != wanted:
+            print(repr(text), added, wanted)
+        right += len(added & wanted)
+        wrong += len(added - wanted)
+    total = sum(w is not None for _, w in texts)
+    print(f"recall {right / total:.2f}, precision {right / max(1, right + wrong):.2f}")
+    assert right >= 0.9 * total and wrong <= 0.05 * right
+
+
 def test_copies_lend_a_pattern_no_support(spark):
     texts = ["the card number 4111111111111111 was used"] * 50 + ["the card number 4111111111111112 was used"]
     got = [x["spans"] for x in personal.find_personal(frame(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
@@ -191,7 +236,7 @@ def test_pruning_changes_no_match():
     m = licences.matcher()
     for name, template in licences.TEMPLATES.items():
         words = template.split()
-        for _ in range(20):
+        for _ in range(20 if len(words) < 400 else 1):
             text = " ".join(w if r.random() > 0.1 else r.choice(["x", "", "the software"]) for w in words)
             scores = {n: dice_by_brute_force(text, t) for n, t in licences.TEMPLATES.items()}
             best = max(scores.values())
@@ -231,12 +276,17 @@ def test_whole_licences_inside_long_texts():
                 found = m.scan(text)
                 # in a paragraph, a wrapped line may be a licence line itself
                 dice, got, a, b = best = max(found, key=lambda x: (x[3] - x[2], x[0]))
+                if name in licences.WHOLE:
+                    assert got == name, (name, before, got, dice)
+                    continue
                 assert got == name and all({text[x[2] - 1], text[x[3]]} == {"\n"} for x in found if x != best), (name, before, [x[:2] for x in found])
                 # a wrapped line that begins with "copyright" is taken for a notice of one
                 assert dice > 0.9 and text.index(words[0]) - 2 <= a and text[a:b].split()[-1].strip(".<>/") == words[-1].strip(".<>/"), name
 
 
-def test_windows_against_brute_force():
+@pytest.mark.parametrize("long", [licences.LONG, licences.SENTENCE])
+def test_windows_against_brute_force(monkeypatch, long):
+    monkeypatch.setattr(licences, "LONG", long)
     r = random.Random(32)
     for _ in range(150):
         letters = "abcdef"
@@ -292,6 +342,65 @@ def test_pages(page, expected):
     assert pages.main_text(page) == expected
 
 
+LINK = '<a href="/l">Ten things you should know about the weather in May</a>'
+
+
+@pytest.mark.parametrize("page,expected", [
+    (f"<nav><ul><li>{LINK}</li></ul></nav><article><p>Kept words.</p></article>", "Kept words."),
+    (f'<article><p>Kept words.</p></article><aside class="related">{LINK}</aside>', "Kept words."),
+    (f"<article><p>Kept words.</p></article><footer>{LINK}</footer>", "Kept words."),
+    (f'<main><p>Kept words.</p><div class="related"><h3>More</h3><ul><li>{LINK}</li><li>{LINK}</li></ul></div></main>', "Kept words."),
+    ('<article><div class="entry-header"><h1>A title</h1></div><p>Kept words.</p></article>', "A title\n\nKept words."),
+    ('<article><div class="legal-text"><p>Kept words of the law.</p></div><p>More.</p></article>', "Kept words of the law.\n\nMore."),
+    ("<article><p>one <svg><text>no</text></svg>two <select><option>no</option></select>three<script>no</script></p></article>", "one two three"),
+    (f"<article><p>Kept words.</p><p>{LINK}</p><p>Others.</p></article>", "Kept words.\n\nTen things you should know about the weather in May\n\nOthers."),
+])
+def test_long_links_and_misleading_names(page, expected):
+    assert pages.main_text(page) == expected
+
+
+def made_page(r):
+    """A page of a site nobody has seen, whose words say whether they belong to the article."""
+    count = iter(range(10_000))
+    words = lambda kind, a, b: " ".join([f"{kind}{next(count)}", *r.choices("some words of a plain text that stand here for now".split(), k=r.randint(a, b))])
+    link = lambda kind, a=1, b=9: f'<a href="/x">{words(kind, a, b)}</a>'
+    listed = lambda kind, n: "<ul>" + "".join(f"<li>{link(kind)}</li>" for _ in range(n)) + "</ul>"
+    para = lambda kind: f"<p>{words(kind, 8, 60)}. {link(kind, 1, 3) if r.random() < 0.3 else ''} {words('also', 3, 20)}.</p>"
+    side = {
+        "nav": lambda: r.choice([f"<nav>{listed('drop', 5)}</nav>", f'<div class="main-menu">{listed("drop", 6)}</div>', f'<ul role="navigation"><li>{link("drop")}</li><li>{link("drop")}</li></ul>', f'<div id="breadcrumb">{link("drop", 1, 2)} / {link("drop", 1, 2)}</div>']),
+        "ad": lambda: r.choice([f'<div class="ad-box"><p>{words("drop", 5, 30)}</p></div>', f'<section id="sponsored">{para("drop")}</section>', f'<div class="promo">{link("drop")}</div>']),
+        "notice": lambda: r.choice([f'<div id="cookie-consent"><p>{words("drop", 9, 30)}</p><button>drop</button></div>', f'<div class="site-notice">{para("drop")}</div>', f'<dialog>{para("drop")}</dialog>']),
+        "aside": lambda: r.choice([f"<aside><h3>{words('drop', 1, 3)}</h3>{listed('drop', 3)}</aside>", f'<div class="sidebar-right">{para("drop")}{listed("drop", 3)}</div>', f'<div class="widget">{para("drop")}</div>']),
+        "form": lambda: r.choice([f'<form action="/s"><label>{words("drop", 1, 4)}</label><input name="q"></form>', f'<div class="newsletter-box"><p>{words("drop", 4, 20)}</p></div>']),
+    }
+    tail = {
+        "comments": lambda: r.choice([f'<section class="comments"><h2>{words("drop", 1, 2)}</h2>{para("drop")}{para("drop")}</section>', f'<div id="comment-list"><article>{para("drop")}</article><article>{para("drop")}</article></div>']),
+        "related": lambda: r.choice([f'<div class="related-posts"><h3>{words("drop", 1, 3)}</h3>{listed("drop", 4)}</div>', f'<section class="recommended">{listed("drop", 3)}</section>']),
+        "share": lambda: f'<div class="social-share">{link("drop", 1, 2)} {link("drop", 1, 2)}</div>',
+    }
+    body = r.choice([f"<h1>{words('keep', 2, 8)}</h1>", f'<header class="entry-header"><h1>{words("keep", 2, 8)}</h1><p>{words("keep", 2, 4)}</p></header>', f"<h2>{words('keep', 1, 5)}</h2>"])
+    for _ in range(r.randint(2, 8)):
+        body += r.choice([lambda: para("keep"), lambda: para("keep"), lambda: para("keep"), lambda: f"<h2>{words('keep', 1, 5)}</h2>{para('keep')}", lambda: f"<ul><li>{words('keep', 1, 12)}</li><li>{words('keep', 1, 12)}</li></ul>{para('keep')}", lambda: f"<blockquote>{para('keep')}</blockquote>", lambda: f"<pre>{words('keep', 3, 12)}</pre>{para('keep')}", lambda: f"<p>{link('keep', 5, 12)}</p>{para('keep')}"])()
+    inner = "".join(tail[k]() for k in r.sample(sorted(tail), r.randint(0, 1)))
+    shape = r.choice(["<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div id="main-content" role="main"><article class="post">{}</article></div>', '<article class="legal-article">{}</article>'])
+    before = "".join(side[k]() for k in r.sample(sorted(side), r.randint(0, 3)))
+    after = "".join((side | tail)[k]() for k in r.sample(sorted(side | tail), r.randint(0, 4)))
+    top = r.choice(["", f'<header><div class="logo">{link("drop", 1, 2)}</div>{listed("drop", 3)}</header>', f'<div class="site-header"><p>{words("drop", 1, 5)}</p></div>'])
+    foot = r.choice(["", f"<footer><p>{words('drop', 3, 20)}</p>{listed('drop', 2)}</footer>", f'<div id="footer">{link("drop")} {words("drop", 1, 6)}</div>'])
+    return f"<!doctype html><html><head><title>drop</title><style>drop{{}}</style></head><body>{top}{before}{shape.format(body + inner)}{after}{foot}<script>drop()</script></body></html>"
+
+
+def test_held_out_pages():
+    r, kept, wrong, missed = random.Random(77), 0, 0, 0
+    for _ in range(200):
+        page = made_page(r)
+        got = set(re.findall(r"keep\d+|drop\d*", pages.main_text(page)))
+        want = set(re.findall(r"keep\d+", page))
+        kept, wrong, missed = kept + len(got & want), wrong + len(got - want), missed + len(want - got)
+    print(f"precision {kept / (kept + wrong):.3f}, recall {kept / (kept + missed):.3f}")
+    assert kept / (kept + wrong) >= 0.98 and kept / (kept + missed) >= 0.98
+
+
 def test_pages_on_edges(spark):
     df = spark.createDataFrame([(1, "u", None, "t"), (2, None, "<p>x</p>", "t"), (2, None, "<p>x</p>", "t"), (None, "u", "<div>" * 20_000 + "deep", "t"), (5, "u", "<" * 50_000, "t"), (6, "u", "word " * 200_000, "t")], "page_id long, url string, html string, text string")
     rows = pages.extract(df).collect()
