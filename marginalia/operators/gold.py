@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.legal import SENTINEL, gold_citation, padded
 from marginalia.functions.text import answer_cell, squeeze, urls
+from marginalia.provenance import require
 
 UNRESOLVED = "UNRESOLVED"
 #: Addresses that spell an instrument's number and year, and the id that they stand for.
@@ -161,3 +162,20 @@ def unstable_ids(questions: DataFrame, rows: DataFrame) -> DataFrame:
     """Probes whose id comes from the row's number, as their ID cell is blank."""
     blank = rows.filter(F.trim(F.coalesce("ID", F.lit(""))) == "").select("ordinal")
     return questions.filter(~F.col("is_answerable")).join(blank, "ordinal", "left_semi").select("id")
+
+
+def loader_gate(rows: DataFrame, manifest: dict[str, str] | None = None, allow_unresolved: bool = False) -> DataFrame:
+    """One row (unresolved, contradictory, empty_passages, blocking) of a gold CSV's rows; raises if any blocks, unless allowed.
+
+    Unresolved instruments and empty passages count on answerable rows only; contradictory rows
+    are those whose marks of a probe disagree.
+    """
+    asked = rows.filter(F.trim(F.coalesce("question", F.lit(""))) != "")
+    marks = asked.agg(F.count_if(probe(urls(F.col("doc_link")), F.col("text_contains_answer_in_the_doc"), F.col("answer"))["anomaly"].isNotNull()).alias("contradictory"))
+    held = coverage(questions_from_rows(rows, manifest)).select(F.col("doc_ids_unresolved").alias("unresolved"), F.col("empty_passage").alias("empty_passages"))
+    # two frames of one row each
+    report = held.join(marks).select("unresolved", "contradictory", "empty_passages", ((F.col("unresolved") > 0) | (F.col("contradictory") > 0) | (F.col("empty_passages") > 0)).alias("blocking"))
+    if not allow_unresolved:
+        r = report.first()
+        require(not r["blocking"], f"{r['unresolved']} unresolved instruments, {r['contradictory']} contradictory rows, {r['empty_passages']} answerable rows without a passage")
+    return report

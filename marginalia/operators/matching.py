@@ -35,17 +35,21 @@ def shingle_hashes(text: Column, n: int = 3) -> Column:
 def candidates(passages: DataFrame, docs: DataFrame, n: int = 3) -> DataFrame:
     """(passage_id, doc_id) that share n neighbouring words away from the passage's ends.
 
-    Words at a passage's ends may be cut inside the document, so its inner shingles decide;
-    a passage of fewer than n + 2 words has none, and is paired with every document, as it
-    always was.
+    Words at a passage's ends may be cut inside the document, so its inner shingles decide.
+    A passage of fewer than n + 2 words has none: it is one window for all that follows, so
+    only documents that hold it, if without diacritics, are its candidates. Such passages are
+    a stated set that all documents are held against.
     """
     w = F.split("p", " ")
     p = passages.select("passage_id", squeeze(F.col("passage")).alias("p")).withColumn("inner", F.when(F.size(w) >= n + 2, F.array_join(F.slice(w, F.lit(2), F.size(w) - 2), " ")))
     long = p.filter("inner is not null").select("passage_id", F.explode(shingle_hashes(F.col("inner"), n)).alias("h"))
     d = docs.select("doc_id", F.explode(shingle_hashes(squeeze(F.col("text")), n)).alias("h"))
     found = d.join(broadcast_if_small(long, 1_000_000), "h").select("passage_id", "doc_id").distinct()
-    short = p.filter("inner is null and p <> ''").select("passage_id")
-    return found.unionByName(docs.select("doc_id").join(F.broadcast(short)).select("passage_id", "doc_id"))
+    short = p.filter("inner is null and p <> ''").select("passage_id", fold(F.col("p")).alias("f"))
+    if short.isEmpty():
+        return found
+    held = docs.select("doc_id", fold(squeeze(F.col("text"))).alias("t")).join(broadcast_if_small(short), F.contains("t", F.col("f")))
+    return found.unionByName(held.select("passage_id", "doc_id"))
 
 
 def coverage_tiers(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -184,9 +188,9 @@ def corrections(rows: DataFrame, patches: DataFrame, key: str, column: str) -> t
 def manifest_updates(manifest: DataFrame, facts: DataFrame) -> DataFrame:
     """(url, doc_id, change): facts (fragment, doc_id) about manifest (url, doc_id): fill, same, conflict; or add what no address holds.
 
-    Facts are kept by hand, and broadcast.
+    Facts are kept by hand.
     """
-    hit = manifest.join(F.broadcast(facts.select("fragment", F.col("doc_id").alias("fact"))), F.contains("url", F.col("fragment")))
+    hit = manifest.join(broadcast_if_small(facts.select("fragment", F.col("doc_id").alias("fact"))), F.contains("url", F.col("fragment")))
     known_ = F.coalesce("doc_id", F.lit(""))
     change = F.when(known_ == "", "fill").when(known_ == F.col("fact"), "same").otherwise("conflict")
     new = facts.join(manifest.select("url"), F.contains("url", F.col("fragment")), "left_anti").select(F.col("fragment").alias("url"), "doc_id", F.lit("add").alias("change"))
@@ -194,7 +198,10 @@ def manifest_updates(manifest: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def identify_instruments(docs: DataFrame, chars: int = 6000) -> DataFrame:
-    """(doc_id, instrument): the instrument a text's opening names most, the first of equals; null without a word for its kind."""
+    """(doc_id, instrument): the instrument a text's opening names most, the first of equals; null without a word for its kind.
+
+    An instrument names itself at its head: chars is the rule's own limit, as later pages cite others.
+    """
     head = F.substring("text", 1, chars)
     ids = F.regexp_extract_all(head, F.lit(r"(?U)\b\d{1,3}\s*/\s*\d{4}\s*/\s*[A-ZĐ]{1,12}(?:-[A-ZĐ0-9]{1,12}){0,2}"), F.lit(0))
     kind = head.rlike(r"(?iuU)\b(?:thông\s*tư|nghị\s*định|quyết\s*định|luật|công\s*văn|pháp\s*lệnh)\b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marginalia.provenance import degraded
+from marginalia.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Instrument ids and agencies keep their hyphens; all else that isn't a word or a hyphen is a space.
@@ -61,12 +62,12 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "doc_i
     """(query_id, id, score, rank, retriever_backend): the k best texts for each query.
 
     A term counts as often as the query has it. Ties go to the smaller id. Texts without a
-    query term score 0 and fill up to k. Texts are cut into words once: document
-    frequencies, lengths and scores all read the one shuffle on (id, term). Where many searches
-    share a corpus, write postings() as a table, and give it as index.
+    query term score 0 and fill up to k. Texts are cut into words once, into a table of
+    postings: document frequencies, lengths, the count before a broadcast and scores read that.
+    Where many searches share a corpus, write postings() once, and give it as index.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokenizer(F.col(query_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    index = index if index is not None else postings(corpus, id_col, text_col, tokenizer)
+    index = index if index is not None else written(postings(corpus, id_col, text_col, tokenizer), "postings")
     stats = statistics(corpus, index)
     weights = idf(index, stats)
     terms = broadcast_if_small(asked.join(weights, "term"))

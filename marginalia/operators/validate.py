@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marginalia.operators.retrieval import broadcast_if_small
 from marginalia.provenance import require
 
 
@@ -68,7 +69,7 @@ def draw_order(key: Column, seed: int) -> Column:
 def quota_sample(rows: DataFrame, quotas: DataFrame, strata: list[str], key: str, seed: int = 20260913) -> DataFrame:
     """As many rows of each stratum as quotas (strata, quota) say, or all; drawn by draw_order, the same on any cluster."""
     order = Window.partitionBy(*strata).orderBy(draw_order(F.col(key), seed), key)
-    return rows.join(F.broadcast(quotas), strata).withColumn("n", F.row_number().over(order)).filter("n <= quota").drop("n", "quota")
+    return rows.join(broadcast_if_small(quotas), strata).withColumn("n", F.row_number().over(order)).filter("n <= quota").drop("n", "quota")
 
 
 def round_robin(rows: DataFrame, group: str, key: str, parts: int = 2, seed: int = 1) -> DataFrame:
@@ -93,16 +94,33 @@ def blind_pack(rows: DataFrame, ours: DataFrame, key: str, size: int = 48, seed:
 def percentile_of(scores: DataFrame, key: str, ours, metric: str) -> DataFrame:
     """One row: our rank and percentiles, strict and by midpoints, with the corpus's spread; the median is the upper one.
 
-    The value is looked up first; then one aggregation over all rows, and one sorted list of distinct values with counts.
+    The value is looked up first; then one aggregation over all rows. For the median, rows
+    below two quantiles around it are counted, and only values between them are ranked.
     """
     mine = scores.filter(F.col(key) == ours).select(F.col(metric).alias("mine"))
     every = scores.join(F.broadcast(mine))
     v, m = F.col(metric), F.col("mine")
     counts = every.agg(F.first("mine").alias("ours"), F.count("*").alias("n"), F.count_if(v < m).alias("below"), F.count_if(v == m).alias("ties"), F.count_if(v > m).alias("better"), F.min(v).alias("least"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"))
-    running = scores.groupBy(metric).agg(F.count("*").alias("c")).agg(F.array_sort(F.collect_list(F.struct(F.col(metric).alias("v"), "c"))).alias("all"))
-    upto = F.aggregate("all", F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("double").alias("v")), lambda s, x: F.struct((s["at"] + x["c"]).alias("at"), F.when(s["v"].isNull() & (s["at"] + x["c"] > F.floor(F.col("n") / 2)), x["v"].cast("double")).otherwise(s["v"]).alias("v")), lambda s: s["v"])
+    median = upper_median(scores, metric)
     pct = lambda x: F.when(F.col("n") > 1, F.round(x * 100.0 / (F.col("n") - 1), 6)).otherwise(100.0)
-    return counts.join(running).select("ours", (F.col("better") + 1).alias("rank"), "n", "below", "ties", "better", pct(F.col("below")).alias("strict_pct"), pct(F.col("below") + 0.5 * (F.col("ties") - 1)).alias("midpoint_pct"), "least", upto.alias("upper_median"), "mean", "most")
+    return counts.select("ours", (F.col("better") + 1).alias("rank"), "n", "below", "ties", "better", pct(F.col("below")).alias("strict_pct"), pct(F.col("below") + 0.5 * (F.col("ties") - 1)).alias("midpoint_pct"), "least", F.lit(median).cast("double").alias("upper_median"), "mean", "most")
+
+
+def upper_median(rows: DataFrame, metric: str) -> float | None:
+    """The value with half of the others, or one more, below it; null without any.
+
+    Two quantiles (off by half a percent at most) lie around it, so two in a hundred rows or
+    ties with them are left; these are counted by value, and the values walked through in order.
+    """
+    v = rows.select(F.col(metric).cast("double").alias("v")).filter("v is not null")
+    around = v.approxQuantile("v", [0.49, 0.51], 0.005)
+    if not around:
+        return None
+    low, high = around
+    n, below = v.agg(F.count("*"), F.count_if(F.col("v") < low)).first()
+    inside = v.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return inside.withColumn("upto", upto + below).filter(F.col("upto") > n // 2).agg(F.min("v")).first()[0]
 
 
 def arms_report(scores: DataFrame, key: str, ours, metrics: list[str], arm: str = "arm") -> DataFrame:

@@ -9,6 +9,7 @@ from marginalia.operators import campaign, gold, matching, prompts, segment
 from marginalia.plans.fixtures import ANSWERS_SQL, LEGAL_SQL, answers, gold_rows, legal_documents, table
 from marginalia.plans.legal_queries import _GOLD
 from marginalia.plans.table_queries import _stream_folder
+from marginalia.provenance import ProvenanceError, require
 from marginalia.sources import files, store
 
 QUERIES, ORACLES = {}, {}
@@ -156,6 +157,126 @@ def _(spark, sf):
     return repo.generations().groupBy("model_name").agg(F.count("*").alias("rows"))
 
 
+def _json_array(rows, folder):
+    """rows as one JSON array in a file: what small hand-kept files are."""
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).coalesce(1).write.text(folder)
+    return folder
+
+
+@query("s4_manifest", "SELECT n_name AS url, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE concat('A/', n_nationkey) END AS doc_id FROM nation")
+def _(spark, sf):
+    folder = _stream_folder(spark)
+    n = table(spark, sf, "nation").select(F.struct("n_name", F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("A/"), "n_nationkey")).alias("d")).alias("e"))
+    n.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list("e")).alias("urls"))).alias("value")).coalesce(1).write.text(folder)
+    if files.manifest(spark, f"{folder}-that-is-not-there"):
+        raise AssertionError("a missing file has no addresses")
+    return spark.createDataFrame(list(files.manifest(spark, folder).items()), "url string, doc_id string")
+
+
+@query("s6_evaluation_corpus", f"WITH {LEGAL_SQL} SELECT CAST(sum(2 + n + (n + 1) // 2) AS BIGINT) AS chunks, count(*) AS documents FROM legal WHERE NOT bare")
+def _(spark, sf):
+    made = segment.chunks(legal_documents(spark, sf)).withColumn("metadata", F.create_map(F.lit("version"), F.lit("1")))
+    folder = _json_array(made.select(*[f.name for f in files.CHUNK.fields]), _stream_folder(spark))
+    return files.evaluation_corpus(spark, folder, 3).agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("s8_sample_gold", "SELECT concat('Q', n_nationkey) AS id, n_regionkey > 0 AS is_answerable, n_name AS question, CAST(11 AS INTEGER) AS fields FROM nation")
+def _(spark, sf):
+    rows = table(spark, sf, "nation").select(F.concat(F.lit("Q"), "n_nationkey").alias("id"), F.col("n_name").alias("question"), (F.col("n_regionkey") > 0).alias("is_answerable"), F.lit("x").alias("a_field_nobody_knows"), F.struct(F.lit(1).alias("deep")).alias("another"))
+    df = files.questions(spark, _json_array(rows, _stream_folder(spark)))
+    return df.select("id", "is_answerable", "question", F.lit(len(df.columns)).alias("fields"))
+
+
+@query("s22_audit_rows", f"WITH {_GOLD} SELECT id, p_partkey % 8 = 0 AS is_probe, (probe OR bare) AND p_partkey % 8 <> 0 AS unanswerable_no_passage FROM g")
+def _(spark, sf):
+    folder = _stream_folder(spark)
+    # every other probe's answer is the sentinel to the letter; the others end with a full stop
+    rows = gold_rows(spark, sf).withColumn("answer", F.when((F.col("ordinal") - 1) % 8 == 0, F.regexp_replace("answer", r"\.$", "")).otherwise(F.col("answer")))
+    rows.orderBy("ordinal").drop("ordinal").coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    return files.audit_rows(spark, folder).select("id", "is_probe", "unanswerable_no_passage")
+
+
+@query("s22_audit_extract", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 IN (0, 1) THEN n_name ELSE '' END AS text, CAST(0 AS INTEGER) AS pages, n_nationkey % 4 IN (0, 1) AS has_text_layer FROM nation")
+def _(spark, sf):
+    k = F.col("n_nationkey") % 4
+    path = F.when(k == 0, "a/b.TXT").when(k == 1, "c.htm").when(k == 2, "d.docx").otherwise("e.txt")
+    return table(spark, sf, "nation").withColumn("x", files.audit_text(path, F.when(k == 3, "  ").otherwise(F.col("n_name")))).select("n_nationkey", F.trim("x.text").alias("text"), "x.pages", "x.has_text_layer")
+
+
+@query("s24_positional_csv", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS ordinal, n_name, CAST(n_nationkey AS VARCHAR) AS key FROM nation")
+def _(spark, sf):
+    folder = _stream_folder(spark)
+    table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit("\n")).alias("n_name")).orderBy("n_nationkey").coalesce(1).write.option("header", True).option("quoteAll", True).csv(folder)
+    names, rows = files.positional(spark, folder, ("n_name",))
+    at = {n: F.get("cells", F.lit(i)) for i, n in enumerate(names)}
+    return rows.select("ordinal", F.trim(F.regexp_replace(at["n_name"], "\\s+$", "")).alias("n_name"), at["n_nationkey"].alias("key"))
+
+
+@query("q8_loader_gate", f"WITH {_GOLD} SELECT CAST(0 AS BIGINT) AS unresolved, CAST(0 AS BIGINT) AS contradictory, count(*) FILTER (bare) AS empty_passages, count(*) FILTER (bare) > 0 AS blocking FROM g")
+def _(spark, sf):
+    rows = gold_rows(spark, sf)
+    report = gold.loader_gate(rows, allow_unresolved=True)
+    if refused(lambda: gold.loader_gate(rows)) != report.first()["blocking"]:
+        raise AssertionError("the gate blocks what it reports")
+    return report
+
+
+def refused(act) -> bool:
+    """Whether act() raises because something isn't established."""
+    try:
+        act()
+    except ProvenanceError:
+        return True
+    return False
+
+
+@query("a21_require", "SELECT n_nationkey, n_regionkey = 0 AS refused FROM nation")
+def _(spark, sf):
+    # a driver's check, tried on each row of a table of 25
+    tried = [(r[0], refused(lambda r=r: require(r[1] != 0, "region 0"))) for r in table(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect()]
+    return spark.createDataFrame(tried, table(spark, sf, "nation").select("n_nationkey").schema.add("refused", "boolean"))
+
+
+@query("k17_safe_output", "SELECT * FROM (VALUES ('/data/corpus', true), ('/data/corpus/', true), ('/data/corpus2', false), ('/data/fixture', false)) AS t(path, refused)")
+def _(spark, sf):
+    paths = ["/data/corpus", "/data/corpus/", "/data/corpus2", "/data/fixture"]
+    return spark.createDataFrame([(p, refused(lambda p=p: store.safe_output(p, "/data/corpus"))) for p in paths], "path string, refused boolean")
+
+
+@query("k1_repository", f"WITH {ANSWERS_SQL} SELECT model_name, count(*) AS evaluations, count(*) AS second, 2 * count(*) AS generations FROM sentences GROUP BY model_name")
+def _(spark, sf):
+    repo = store.Repository(spark, _stream_folder(spark))
+    rows = answers(spark, sf).select(*store.KEY, "kind")
+    repo.save_evaluations(rows.withColumn("kind", F.lit(-1)))
+    repo.save_evaluations(rows)
+    repo.save_generations(rows)
+    repo.save_generations(rows)
+    count = lambda df, name, cond=None: df.groupBy("model_name").agg(F.count_if(cond if cond is not None else F.lit(True)).alias(name))
+    held = count(repo.evaluations(), "evaluations").join(count(repo.evaluations(), "second", F.col("kind") >= 0), "model_name")
+    return held.join(count(repo.generations(), "generations"), "model_name")
+
+
+@query("k7_batched", f"WITH {ANSWERS_SQL} SELECT retrieval_mode, 3 * count(*) AS rows FROM sentences GROUP BY retrieval_mode")
+def _(spark, sf):
+    repo = store.Batched(spark, _stream_folder(spark))
+    rows = answers(spark, sf).select(*store.KEY)
+    for _ in range(3):
+        repo.save_generations(rows)
+    if repo.generations() is not None:
+        raise AssertionError("nothing is written before flush()")
+    repo.flush()
+    return repo.generations().groupBy("retrieval_mode").agg(F.count("*").alias("rows"))
+
+
+@query("k13_run_manifest", "SELECT r_name AS model, CAST(r_regionkey AS BIGINT) AS rows FROM region")
+def _(spark, sf):
+    folder = _stream_folder(spark)
+    models = {r[0]: r[1] for r in table(spark, sf, "region").select("r_name", "r_regionkey").collect()}
+    store.write_manifest(spark, folder, {"models": {}})
+    store.write_manifest(spark, folder, {"models": models})
+    return spark.createDataFrame(list(store.read_manifest(spark, folder)["models"].items()), "model string, rows long")
+
+
 # --- deliveries and reports --------------------------------------------------------------
 @query("q4_delivery_scan", r"""
 WITH f AS (SELECT page_id, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS base FROM pages), d AS (SELECT base AS file, min(page_id) AS first, count(*) AS n FROM f WHERE base <> '' GROUP BY base)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as t
@@ -11,6 +9,7 @@ from marginalia.operators import gold, matching, prompts, scoring, segment, tabl
 from marginalia.plans.fixtures import ANSWERS_SQL, MODELS, MODES, answers, gold_rows, legal_documents, scored_rows, table
 from marginalia.plans.legal_queries import _GOLD, _SCORE, _TYPES
 from marginalia.sources import files, store
+from marginalia.sources.scratch import new_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -281,9 +280,9 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", p.alias("p")).select("c_custkey", "p.context_chars", F.size("p.truncated_ranks").alias("truncated"), F.size("p.dropped_ranks").alias("dropped"))
 
 
-@query("g3_prompt_field", "SELECT item_id, item_id % 2 = 0 AS exact, CASE WHEN item_id % 2 = 0 THEN CAST(length(text) AS BIGINT) ELSE CAST(length(text) + length('[messages] [{\"role\":\"user\",\"content\":\"\"}]') AS BIGINT) END AS chars FROM benchmark WHERE NOT contains(text, chr(10)) AND NOT contains(text, '\"')")
+@query("g3_prompt_field", "SELECT item_id, item_id % 2 = 0 AS exact, CASE WHEN item_id % 2 = 0 THEN CAST(length(text) AS BIGINT) ELSE CAST(length(text) + length(regexp_replace(text, '[^\"\\\\\t\n\r]', '', 'g')) + length('[messages] [{\"role\":\"user\",\"content\":\"\"}]') AS BIGINT) END AS chars FROM benchmark")
 def _(spark, sf):
-    b = table(spark, sf, "benchmark").filter(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit('"')))
+    b = table(spark, sf, "benchmark")
     exact = F.col("item_id") % 2 == 0
     return b.select("item_id", exact.alias("exact"), F.length(prompts.prompt_field(F.col("text"), exact)).cast("long").alias("chars"))
 
@@ -299,7 +298,7 @@ def _(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", prompts.cache_key(F.concat(F.lit("Q"), "item_id"), F.lit("m"), F.lit("closed_book"), content, F.lit("h")).alias("cache_key"))
 
 
-@query("g6_corpus_hash", r"SELECT sha256(string_agg(sha256(concat(CAST(doc_id AS VARCHAR), chr(31), trim(regexp_replace(text, '\s+', ' ', 'g')), chr(30))), '' ORDER BY CAST(doc_id AS VARCHAR))) AS corpus_hash FROM documents")
+@query("g6_corpus_hash", r"WITH h AS (SELECT sha256(concat(CAST(doc_id AS VARCHAR), chr(31), trim(regexp_replace(text, '\s+', ' ', 'g')), chr(30))) AS h FROM documents) SELECT sha256(concat_ws(',', count(*), sum(('0x' || h[1:15])::BIGINT), sum(('0x' || h[16:30])::BIGINT), sum(('0x' || h[31:45])::BIGINT), sum(('0x' || h[46:60])::BIGINT), sum(('0x' || h[61:64])::BIGINT))) AS corpus_hash FROM h")
 def _(spark, sf):
     return prompts.corpus_hash(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), ("doc_id", "text"))
 
@@ -637,12 +636,12 @@ def _(spark, sf):
     return matching.article_texts(segment.chunks(legal_documents(spark, sf))).filter("article_id rlike '^[1-9]'")
 
 
-@query("q7_passage_repair", "SELECT concat('Q', s_suppkey) AS id, CASE s_suppkey % 4 WHEN 0 THEN 'repaired' WHEN 1 THEN 'already' WHEN 2 THEN 'refused' ELSE 'no_article' END AS action FROM supplier WHERE s_suppkey % 5 <> 4")
+@query("q7_passage_repair", "SELECT concat('Q', s_suppkey) AS id, CASE WHEN s_suppkey % 5 = 4 THEN 'no_article' WHEN s_suppkey % 4 = 0 THEN 'repaired' WHEN s_suppkey % 4 = 1 THEN 'already' WHEN s_suppkey % 4 = 2 THEN 'refused' ELSE 'no_article' END AS action FROM supplier")
 def _(spark, sf):
     k = F.col("s_suppkey") % 4
     whole = F.lit("Điều 1. Tiêu đề\n1. Khoản một.\nTiếp theo.\n2. Khoản hai.")
     passage = F.when(k == 0, "Điều 1: khoản một, khoản hai").when(k == 1, whole).when(k == 2, "Điều 1: một câu tóm tắt hoàn toàn khác hẳn với văn bản gốc về tiền gửi").otherwise("Điều 77: khoản một")
-    q = table(spark, sf, "supplier").filter("s_suppkey % 5 <> 4").select(F.concat(F.lit("Q"), "s_suppkey").alias("id"), F.lit(True).alias("is_answerable"), F.array(F.lit("UNRESOLVED:x"), F.concat(F.lit("D"), "s_suppkey")).alias("gold_doc_ids"), passage.alias("gold_passage"))
+    q = table(spark, sf, "supplier").select(F.concat(F.lit("Q"), "s_suppkey").alias("id"), F.lit(True).alias("is_answerable"), F.array(F.lit("UNRESOLVED:x"), F.concat(F.lit("D"), "s_suppkey")).alias("gold_doc_ids"), passage.alias("gold_passage"))
     return matching.repair(q, segment.chunks(legal_documents(spark, sf))).select("id", "action")
 
 
@@ -701,14 +700,6 @@ def _event_stream(spark, sf):
 
 
 def _stream_folder(spark):
-    """A new folder in spark.checkpoint.dir; a temporary one where that is unset and tasks run in this process."""
-    import uuid
-
-    shared = spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="marginalia-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marginalia.functions.legal import ARTICLE
-from marginalia.functions.text import vietnamese_ratio
-from marginalia.operators.gold import questions_from_rows
+from marginalia.functions.legal import ARTICLE, SENTINEL
+from marginalia.functions.text import fold, urls, vietnamese_ratio
+from marginalia.operators.gold import questions_from_rows, row_id
 from marginalia.provenance import require, single_tier, unique
+from marginalia.sources.scratch import written
 
 REQUIRED = ("question", "answer", "text_contains_answer_in_the_doc", "doc_link")
 CITATION = T.StructType([T.StructField(c, T.StringType()) for c in ("doc_id", "article_id", "clause_id", "confidence")])
@@ -176,7 +177,52 @@ def abstract(positions: Column) -> Column:
 
 
 def batches(ids: DataFrame, key: str, size: int = 25) -> DataFrame:
-    """ids with batch: in order of the key, size to a batch; a request's worth of ids, so one ordered window over a short list."""
+    """ids with batch: in order of the key, size to a batch.
+
+    Rows are numbered in ranges of the key; a range's rows go on from those of the ranges
+    before it, of which one count each comes to the driver.
+    """
     from pyspark.sql.window import Window
 
-    return ids.withColumn("batch", F.ceil(F.row_number().over(Window.orderBy(key)) / size).cast("long"))
+    dealt = written(ids.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = sorted((r[0], r[1]) for r in dealt.groupBy("__range").count().collect())
+    before, starts = 0, []
+    for number, n in counts:
+        starts.append((number, before))
+        before += n
+    offsets = ids.sparkSession.createDataFrame(starts, "__range int, __before long")
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(key)) + F.col("__before")
+    # a row for each range: as few as partitions
+    return dealt.join(F.broadcast(offsets), "__range").withColumn("batch", F.ceil(place / size).cast("long")).drop("__range", "__before")
+
+
+def audit_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The gold CSV as audits read it: id, question, passage, urls, is_probe, unanswerable_no_passage.
+
+    A probe has no address, no passage, and the sentinel as its answer, with or without diacritics
+    and case, but to the last character: here a full stop makes another answer.
+    """
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rows = csv(spark, path)
+    rows = rows if "ID" in rows.columns else rows.withColumn("ID", F.lit(None).cast("string"))
+    t = rows.filter(clean(F.col("question")) != "").select(row_id(F.col("ID"), F.col("ordinal")).alias("id"), clean(F.col("question")).alias("question"), clean(F.col("text_contains_answer_in_the_doc")).alias("passage"), urls(F.col("doc_link")).alias("urls"), F.lower(fold(clean(F.col("answer")))).alias("said"))
+    is_probe = (F.size("urls") == 0) & (F.col("passage") == "") & (F.col("said") == F.lower(fold(F.lit(SENTINEL))))
+    return t.select("id", "question", "passage", "urls", is_probe.alias("is_probe"), ((F.col("passage") == "") & ~is_probe).alias("unanswerable_no_passage"))
+
+
+def audit_text(path: Column, text: Column) -> Column:
+    """(text, pages, has_text_layer) of a delivered file: plain text and pages as they are, nothing of other kinds."""
+    known = F.lower(F.coalesce(path, F.lit(""))).rlike(r"\.(?:txt|html|htm)$")
+    own = F.when(known, F.coalesce(text, F.lit(""))).otherwise("")
+    return F.struct(own.alias("text"), F.lit(0).alias("pages"), (F.trim(own) != "").alias("has_text_layer"))
+
+
+def positional(spark: SparkSession, path: str, needed: tuple[str, ...] = ()) -> tuple[list[str], DataFrame]:
+    """(names, rows (ordinal, cells)) of a CSV read by position; raises if a needed name is missing."""
+    df = csv(spark, path, header=False)
+    cells = [c for c in df.columns if c != "ordinal"]
+    first = df.orderBy("ordinal").select(*cells).first()
+    names = [(x or "").lstrip("\ufeff") for x in first] if first else []
+    missing = [c for c in needed if c not in names]
+    require(not missing, f"the CSV lacks columns: {missing}")
+    return names, df.filter("ordinal > 1").select((F.col("ordinal") - 1).alias("ordinal"), F.array(*cells).alias("cells"))

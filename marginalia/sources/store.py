@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,7 +99,7 @@ class Repository:
 
     def _pointer(self, name: str) -> str | None:
         try:
-            rows = self.spark.read.json(f"{self.path}/{name}/current").select("version", "at").orderBy(F.desc("at")).limit(1).collect()
+            rows = self.spark.read.json(f"{self.path}/{name}/current").select("version", "at").orderBy(F.desc("at"), F.desc("version")).limit(1).collect()
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
@@ -111,8 +113,7 @@ class Repository:
     def _write(self, name: str, df: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}/{version}")
-        number = 1 + (0 if self._pointer(name) is None else self.spark.read.json(f"{self.path}/{name}/current").agg(F.max("at")).first()[0])
-        self.spark.createDataFrame([(version, number)], "version string, at long").coalesce(1).write.mode("append").json(f"{self.path}/{name}/current")
+        self.spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").json(f"{self.path}/{name}/current")
 
     def save_evaluations(self, rows: DataFrame) -> None:
         """Upsert by question, model and mode."""
@@ -150,6 +151,37 @@ class Repository:
         flat.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
+class Batched(Repository):
+    """A repository whose generations wait in the session until flush() writes them, as one version."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path)
+        self._waiting: list[DataFrame] = []
+
+    def save_generations(self, rows: DataFrame) -> None:
+        self._waiting.append(rows)
+
+    def flush(self) -> None:
+        if self._waiting:
+            rows = self._waiting[0]
+            for more in self._waiting[1:]:
+                rows = rows.unionByName(more)
+            super().save_generations(rows)
+            self._waiting = []
+
+
+def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
+    """A run's manifest as one JSON text; readers see the old one or the new one, as the pointer moves last."""
+    version = f"v-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{path}/{version}")
+    spark.createDataFrame([(version, time.time_ns())], "version string, at long").coalesce(1).write.mode("append").json(f"{path}/current")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    version = spark.read.json(f"{path}/current").orderBy(F.desc("at"), F.desc("version")).first()["version"]
+    return json.loads(spark.read.text(f"{path}/{version}", wholetext=True).first()[0])
+
+
 class Memory:
     """The same contract over frames of this session."""
 
