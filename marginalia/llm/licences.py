@@ -26,10 +26,11 @@ from __future__ import annotations
 
 import pkgutil
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -146,14 +147,17 @@ class Matcher:
         for name, c in self.grams.items():
             for g in c:
                 self.holders.setdefault(g, []).append(name)
-        self.of_size: dict[int, tuple[list[str], set[tuple[str, str]]]] = {}
+        # sizes between two edges have the same templates, so there are no more sets than two for each template and one
+        self.edges = sorted({e for low, high in self.bounds.values() for e in (ceil(low), floor(high) + 1)})
+        self.of_range: dict[int, tuple[list[str], set[tuple[str, str]]]] = {}
 
     def eligible(self, n: int) -> tuple[list[str], set[tuple[str, str]]]:
         """The templates that n bigrams may match, and all of their bigrams."""
-        if n not in self.of_size:
+        at = bisect_right(self.edges, n)
+        if at not in self.of_range:
             names = [name for name, (low, high) in self.bounds.items() if low <= n <= high]
-            self.of_size[n] = names, set().union(*(self.grams[x] for x in names))
-        return self.of_size[n]
+            self.of_range[at] = names, set().union(*(self.grams[x] for x in names))
+        return self.of_range[at]
 
     def best(self, words: list[str]) -> tuple[float, str, int] | None:
         """(Dice, template, templates compared) of a candidate's best template, if it is close enough."""

@@ -317,6 +317,18 @@ def test_versions_are_told_apart():
         assert m.best(licences.words_of(f"This work is licensed under the GNU General Public License, version {v}."))[1] == f"GPL-{v}.0 line"
 
 
+def test_a_matcher_holds_few_sets_whatever_the_sizes_of_texts():
+    m = licences.Matcher()
+    kept = {}
+    for n in range(int(m.largest) + 2):
+        names, grams = m.eligible(n)
+        assert names == [name for name, (low, high) in m.bounds.items() if low <= n <= high], n
+        kept[id(grams)] = grams
+        if n % 500 == 0:
+            assert grams == {g for name in names for g in m.grams[name]}, n
+    assert len(kept) <= 2 * len(m.bounds) + 1
+
+
 def test_licences_on_edges(spark):
     rows = licences.scan_licences(frame(spark, EDGE)).collect()
     assert len(rows) == len(EDGE) and all(r["licence"] is None for r in rows)
