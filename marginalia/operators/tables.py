@@ -38,11 +38,15 @@ def unfaithful() -> Column:
 
 
 def export_summary(records: DataFrame) -> DataFrame:
-    """By model and mode: means over publishable rows, and how many were refused."""
+    """By model and mode: means over publishable rows, how many were refused, and how many abstained.
+
+    Rates are rounded, so a count isn't got back from them.
+    """
     ok = publishable()
     return records.groupBy(*GROUP).agg(
         count_if(ok).alias("count"), count_if(~ok).alias("refused"), mean(F.when(ok, F.col("citation_precision"))).alias("avg_citation_precision"), mean(F.when(ok, F.col("citation_recall"))).alias("avg_citation_recall"),
         mean(F.when(ok, F.col("correctness_score"))).alias("avg_correctness"), mean(F.when(ok, F.col("hallucinated").cast("double"))).alias("hallucination_rate"), mean(F.when(ok, F.col("abstained").cast("double"))).alias("abstention_rate"),
+        count_if(ok & F.col("abstained")).alias("abstained"),
     )
 
 

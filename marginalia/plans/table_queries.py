@@ -89,7 +89,7 @@ WITH {_CHEAP} SELECT model_name, retrieval_mode, count(*) FILTER (publishable) A
   round(avg(score) FILTER (publishable), 4) AS avg_correctness, round(avg(hallucinated::INT) FILTER (publishable), 4) AS hallucination_rate, round(avg(abstained::INT) FILTER (publishable), 4) AS abstention_rate FROM records GROUP BY 1, 2
 """)
 def _(spark, sf):
-    return tables.export_summary(_cheap(spark, sf))
+    return tables.export_summary(_cheap(spark, sf)).drop("abstained")
 
 
 _ABST = """count(*) AS rows, count(*) FILTER (NOT asked) AS probes, count(*) FILTER (asked) AS answerable, count(*) FILTER (NOT asked AND abstained) AS true_positive, count(*) FILTER (asked AND abstained) AS false_abstention,
@@ -505,7 +505,7 @@ def _(spark, sf):
     repo = store.Memory()
     repo.save_evaluations(kept.withColumn("abstained", F.lit(False)))
     repo.save_evaluations(kept)
-    return repo.summary().select("model_name", "retrieval_mode", "count", F.round(F.col("abstention_rate") * F.col("count")).cast("long").alias("abstained"))
+    return repo.summary().select("model_name", "retrieval_mode", "count", "abstained")
 
 
 @query("k4_point_lookup", f"WITH {ANSWERS_SQL} SELECT question_id, kind FROM sentences ORDER BY l_orderkey, l_linenumber LIMIT 1")
