@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.legal import KEYPHRASE, SENTINEL
-from marginalia.functions.text import TRUNCATED, VIETNAMESE_WORDS, count_of, hash_prefix, normalize_ws, squeeze, vietnamese_letters
+from marginalia.functions.text import TRUNCATED, VIETNAMESE_WORDS, count_of, hash_prefix, let, normalize_ws, squeeze, vietnamese_letters
 from marginalia.provenance import require
 
 PER_PASSAGE, TOTAL, FLOOR = 3500, 7000, 400
@@ -56,19 +56,21 @@ def pack(passages: Column, per_passage: int = PER_PASSAGE, total: int = TOTAL, f
     start = F.struct(F.lit(0).alias("used"), empty("string").alias("blocks"), empty("int").alias("truncated"), empty("int").alias("dropped"), F.lit(0).alias("rank")).cast(kind)
 
     def step(s: Column, passage: Column) -> Column:
-        rank, left = s["rank"] + 1, F.lit(total) - s["used"]
-        allowance = F.least(F.lit(per_passage), left)
-        cut = F.length(passage) > allowance
-        body = F.when(cut, F.concat(F.regexp_replace(F.substring(passage, F.lit(1), allowance), r"(?U)\s+$", ""), F.lit("\n" + TRUNCATED))).otherwise(passage)
+        return let(F.struct(s.alias("s"), (s["rank"] + 1).alias("rank"), (F.lit(total) - s["used"]).alias("left"), F.length(passage).alias("length")), lambda v: placed(v, passage))
+
+    def placed(v: Column, passage: Column) -> Column:
+        s, rank = v["s"], v["rank"]
+        allowance = F.least(F.lit(per_passage), v["left"])
+        cut = v["length"] > allowance
+        trimmed = let(F.substring(passage, F.lit(1), allowance), lambda x: F.when(F.right(x, F.lit(1)).rlike(r"(?U)\s"), F.regexp_replace(x, r"(?U)\s+$", "")).otherwise(x))
+        body = F.when(cut, F.concat(trimmed, F.lit("\n" + TRUNCATED))).otherwise(passage)
         block = F.concat(F.lit("--- Tài liệu tham khảo ["), rank.cast("string"), F.lit("] ---\n"), body)
-        over = (F.size(s["dropped"]) > 0) | (left < floor)
-        return F.when(over, F.struct(s["used"].alias("used"), s["blocks"].alias("blocks"), s["truncated"].alias("truncated"), F.concat(s["dropped"], F.array(rank)).alias("dropped"), rank.alias("rank"))).otherwise(
-            F.struct((s["used"] + F.length(block)).alias("used"), F.concat(s["blocks"], F.array(block)).alias("blocks"), F.when(cut, F.concat(s["truncated"], F.array(rank))).otherwise(s["truncated"]).alias("truncated"), s["dropped"].alias("dropped"), rank.alias("rank"))
-        )
+        over = (F.size(s["dropped"]) > 0) | (v["left"] < floor)
+        with_block = lambda b: F.struct((s["used"] + F.length(b)).alias("used"), F.concat(s["blocks"], F.array(b)).alias("blocks"), F.when(cut, F.concat(s["truncated"], F.array(rank))).otherwise(s["truncated"]).alias("truncated"), s["dropped"].alias("dropped"), rank.alias("rank"))
+        return F.when(over, F.struct(s["used"].alias("used"), s["blocks"].alias("blocks"), s["truncated"].alias("truncated"), F.concat(s["dropped"], F.array(rank)).alias("dropped"), rank.alias("rank"))).otherwise(let(block, with_block))
 
     def finish(s: Column) -> Column:
-        context = F.array_join(s["blocks"], "\n\n")
-        return F.struct(context.alias("context"), F.length(context).cast("long").alias("context_chars"), s["truncated"].alias("truncated_ranks"), s["dropped"].alias("dropped_ranks"))
+        return let(F.array_join(s["blocks"], "\n\n"), lambda c: F.struct(c.alias("context"), F.length(c).cast("long").alias("context_chars"), s["truncated"].alias("truncated_ranks"), s["dropped"].alias("dropped_ranks")))
 
     return F.aggregate(passages, start, step, finish)
 
